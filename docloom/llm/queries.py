@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import quality_rules, token_counts
+from docloom.llm import html_text, quality_rules, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op4_warc": warc.query,
+        "op6_html_text": html_text.query,
         "op9_token_counts": token_counts.query,
     }
 
