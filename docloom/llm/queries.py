@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from docloom.llm import html_text, quality_rules, token_counts, warc
+from docloom.llm import html_text, license_scan, quality_rules, secret_scan, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_license_scan": license_scan.query,
         "op4_warc": warc.query,
         "op6_html_text": html_text.query,
+        "op7_toxicity": toxicity.query,
         "op9_token_counts": token_counts.query,
+        "op10_secret_scan": secret_scan.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": license_scan.sql()}
