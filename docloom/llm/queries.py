@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import html_text, license_scan, quality_rules, secret_scan, token_counts, toxicity, warc
+from docloom.llm import html_text, license_scan, packing, quality_rules, secret_scan, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.query,
         "op2_license_scan": license_scan.query,
+        "op3_packing": packing.query,
         "op4_warc": warc.query,
         "op6_html_text": html_text.query,
         "op7_toxicity": toxicity.query,
