@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import html_text, license_scan, packing, quality_rules, secret_scan, token_counts, toxicity, warc
+from docloom.llm import decontaminate, html_text, license_scan, near_dup, packing, quality_rules, secret_scan, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_license_scan": license_scan.query,
         "op3_packing": packing.query,
         "op4_warc": warc.query,
+        "op5_near_dup": near_dup.query,
         "op6_html_text": html_text.query,
         "op7_toxicity": toxicity.query,
+        "op8_decontaminate": decontaminate.query,
         "op9_token_counts": token_counts.query,
         "op10_secret_scan": secret_scan.query,
     }
