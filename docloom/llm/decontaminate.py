@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from docloom.llm.common import double, long, packed, table
 WORD = re.compile(r"\w+")
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 K1, B = 1.2, 0.75
-BLOCK, WINDOW, LEAST_PASSAGE, SHARD = 16, 3, 128, 20_000
+BLOCK, WINDOW, LEAST_PASSAGE, SHARD, CELLS = 8, 3, 128, 20_000, 8 << 20
 HIT = T.StructType([long("item_id"), long("passage"), double("score"), double("question_overlap"), double("answer_overlap"), double("overlap")])
 
 
@@ -90,14 +91,39 @@ class Index:
                 top[k // BLOCK] = max(top.get(k // BLOCK, 0.0), x)
             self.blocks.append(top)
         self.texts = [t for *_, t in rows]
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: (item, score) of all items that score the threshold or more for these distinct terms."""
+        self.n_blocks = -(-len(rows) // BLOCK)
+        self.block_ids = [np.fromiter(top, np.int64, len(top)) for top in self.blocks]
+        self.block_most = [np.fromiter(top.values(), float, len(top)) for top in self.blocks]
+        self.table = None
+        if len(self.blocks) * self.n_blocks <= CELLS:  # as a table, where it is small
+            self.table = np.zeros((len(self.blocks), self.n_blocks), np.float32)
+            for t in range(len(self.blocks)):
+                self.table[t, self.block_ids[t]] = self.block_most[t] * (1 + 1e-6)
+
+    def open_blocks(self, terms: np.ndarray, threshold: float) -> np.ndarray:
+        """Blocks whose bounds, summed over the terms, reach the threshold: no other block has a hit."""
+        if self.table is not None:
+            bounds = self.table[terms].sum(0)
+        else:
+            bounds = np.bincount(np.concatenate([self.block_ids[t] for t in terms]), np.concatenate([self.block_most[t] for t in terms]), self.n_blocks)
+        return np.flatnonzero(bounds >= threshold * (1 - 1e-6))
+
+    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """Block-max WAND: (item, score) of all items that score the threshold or more for these distinct terms.
+
+        The lists are read from the first open block to the last; most passages have none.
+        """
+        opened = self.open_blocks(terms, threshold)
+        if not len(opened):
+            return []
         most, out = self.most, []
-        cursors = [[self.postings[t][0], 0, t] for t in terms]  # item, place in the list, term
-        end = len(self.ids)
+        begin, end = int(opened[0]) * BLOCK, min((int(opened[-1]) + 1) * BLOCK, len(self.ids))
+        starts = ((t, bisect_left(self.postings[t], begin)) for t in terms.tolist())
+        cursors = [[self.postings[t][at], at, t] for t, at in starts if at < len(self.postings[t])]  # item, place in the list, term
         while cursors:
             cursors.sort()
+            if cursors[0][0] >= end:
+                break
             bound, pivot = 0.0, None
             for j, c in enumerate(cursors):
                 bound += most[c[2]]
@@ -134,8 +160,6 @@ class Index:
                     c[0], c[1] = listed[at], at
                 left.append(c)
             cursors = left
-            if not cursors or cursors[0][0] >= end:
-                break
         return out
 
     def hits(self, text: str, threshold: float, overlap: float) -> list[dict]:
@@ -157,7 +181,7 @@ class Index:
             if self.most[terms].sum() < threshold:
                 continue
             passage, windows = words[starts[p] : starts[p] + size], {}
-            for k, score in self.search(terms.tolist(), threshold):
+            for k, score in self.search(terms, threshold):
                 whole = share(words_of(self.texts[k]), passage, windows)
                 if whole >= overlap and (k not in found or whole > found[k]["overlap"]):
                     q, a = (share(x, passage, windows) for x in question_and_answer(self.texts[k]))

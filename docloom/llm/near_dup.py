@@ -8,7 +8,7 @@ are rounded to a grid of steps of 1/16 in the logarithm, for sampling and verifi
 
 Exact copies share one node (the text's digest). 64 consistent weighted samples a node make 16 bands of 4. In each
 bucket every node is paired with the first; pairs that agree in half their samples are verified on whole texts by
-weighted Jaccard similarity of 0.8 or more. After components of those links are known, the nodes of one bucket that
+weighted Jaccard similarity of 0.8 or more (or, for texts just below, by that of the plain sets). After components of those links are known, the nodes of one bucket that
 are still in different components are paired too, so no pair that shares a bucket is left out unless it is already
 connected; in a bucket of over 128 such nodes a pair must share a second band (0.997 of pairs at similarity 0.8 do).
 Nothing is gathered by group: buckets are joined and aggregated, components come from large-star and small-star steps.
@@ -159,14 +159,17 @@ def _verified(idf: np.ndarray, threshold: float):
 
         def weighed(text: str):
             s, n = shingles(text, hashes)
-            return s, np.exp(levels(s, n, idf) / GRID)
+            return s, np.exp(levels(s, n, idf) / GRID), np.ones(len(s))
+
+        def similar(x: tuple, y: tuple) -> bool:
+            return jaccard(x[:2], y[:2]) >= threshold or jaccard(x[::2], y[::2]) >= threshold
 
         for b in batches:
             yes = []
             for a, x, y in zip(*(b.column(c) for c in ("a", "text_a", "text_b")), strict=True):
                 if last[0] != a:
                     last = (a, weighed(x.as_py()))
-                yes.append(jaccard(last[1], weighed(y.as_py())) >= threshold)
+                yes.append(similar(last[1], weighed(y.as_py())))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return run
