@@ -5,8 +5,15 @@ from __future__ import annotations
 from docloom.llm import decontaminate, html_text, license_scan, near_dup, packing, quality_rules, secret_scan, token_counts, toxicity, warc
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_quality_rules": quality_rules.query,
         "op2_license_scan": license_scan.query,
         "op3_packing": packing.query,
