@@ -14,12 +14,15 @@ packed each; an empty table gives no piece; other columns go through in _row. se
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +45,7 @@ class WordTokens:
     word by word through a cache; all other texts, and those that may hold special tokens, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,35 +55,49 @@ class WordTokens:
         self.model.no_truncation()
         self.model.no_padding()
         letters, numbers = "a-zA-Z" + _class("L"), "0-9" + _class("N")
-        self.plain = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*+")
-        self.words = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
-        self.cache: dict[str, bytes] = _Cache(self, most)
+        self.plain = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*+")
+        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
+        self.cache: dict[str, bytes] = {}
+        self.most = most
+        self.ending = np.zeros(self.model.get_vocab_size(), bool)
+        if suffix := getattr(self.model.model, "end_of_word_suffix", None):
+            self.ending[[i for t, i in self.model.get_vocab().items() if t.endswith(suffix)]] = True
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         probe = "It's 12 über-plain, SAY: they'll ¿go? «x²»\tend\n"
-        self.fast = self.model.normalizer is not None and self._by_word(probe) == self._whole(probe)
-
-    def _whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.model.encode(text, add_special_tokens=False).ids)
-
-    def _by_word(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, self.words.findall(text.lower())))
-
-    def __call__(self, text: str) -> bytes:
-        if self.fast and self.plain.fullmatch(text) and "İ" not in text and not any(s in text for s in self.special):
-            return self._by_word(text)
-        return self._whole(text)
-
-
-class _Cache(dict):
-    def __init__(self, tokens: WordTokens, most: int):
-        super().__init__()
-        self.tokens, self.most = tokens, most
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = self.tokens._whole(word)
-        return out
+        self.fast = self.model.normalizer is not None and self._by_word([probe]) == self._whole([probe])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Many words are encoded as one text and told apart by the tokens that end words."""
+        if not words:
+            return []
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) != len(words):
+            return self._whole(words)
+        flat, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        found = [self.words.findall(t.lower()) for t in texts]
+        if len(self.cache) > self.most:
+            self.cache.clear()
+        new = list(set().union(*found).difference(self.cache))
+        self.cache.update(zip(new, self._words(new), strict=True))
+        return [b"".join(map(self.cache.__getitem__, ws)) for ws in found]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        plain = [self.fast and bool(self.plain.fullmatch(t)) and "İ" not in t and not any(s in t for s in self.special) for t in texts]
+        words, whole = (iter(f([t for t, p in zip(texts, plain, strict=True) if p == kind])) for f, kind in ((self._by_word, True), (self._whole, False)))
+        return [next(words if p else whole) for p in plain]
+
+
+@lru_cache(2)
+def word_tokens(path: str) -> WordTokens:
+    """One for the life of a Python worker: later tasks find its words."""
+    return WordTokens(path)
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -197,7 +214,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, packer, first = WordTokens(path), Packer(capacity), TaskContext.get().partitionId() << 32
+        tokens, packer, first = word_tokens(path), Packer(capacity), TaskContext.get().partitionId() << 32
         waiting: dict[int, list] = {}  # of documents with pieces to come: row, ids, tokens left
         number = 0
 
@@ -220,8 +237,8 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
             for at in range(0, b.num_rows, 256):
                 pieces = []
                 part = b.slice(at, 256)
-                for row, t in zip(part.column("_row").to_pylist(), part.column("_text").to_pylist(), strict=True):
-                    ids = tokens(t) + end
+                for row, ids in zip(part.column("_row").to_pylist(), tokens(part.column("_text").to_pylist()), strict=True):
+                    ids += end
                     waiting[number] = [row, ids, len(ids) // 4]
                     pieces += packer.add(number, len(ids) // 4)
                     number += 1
