@@ -20,6 +20,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, of) -> Column:
+    """of(value) with the value computed once: inside a lambda over an array an outer expression is computed for each element."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def words(text: Column | str) -> Column:
     return F.filter(F.split(col(text), r"(?U)\s+"), lambda w: w != "")
 
@@ -165,7 +170,7 @@ def is_entity_text(name: Column | str, boilerplate: list[str]) -> Column:
     """3 characters or more; one capitalised word only as an acronym of 2 to 6; no boilerplate phrase; no bare number."""
     t = strip(name)
     lone = (n_words(t) == 1) & t.rlike(r"^\p{Lu}") & ~t.rlike("^[A-Z]{2,6}$")
-    phrase = F.exists(F.lit(boilerplate), lambda p: F.contains(F.lower(t), p)) if boilerplate else F.lit(False)
+    phrase = let(F.lower(t), lambda low: F.exists(F.lit(boilerplate), lambda p: F.contains(low, p))) if boilerplate else F.lit(False)
     return F.coalesce((F.length(t) >= 3) & ~lone & ~phrase & ~t.rlike(r"^[\d\s\-/,\.]+$"), F.lit(False))
 
 

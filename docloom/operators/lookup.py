@@ -56,7 +56,7 @@ def canonical_agency(abbreviation: Column | str) -> Column:
 def agency_in_list(names: Column) -> Column:
     """struct(abbreviation, label): the first name that is a variant, or holds one (the first in order)."""
     variants = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(short).alias("a")) for v, short, _ in vocab.agency_variants()])
-    inside = lambda n: F.get(F.filter(variants, lambda x: F.contains(F.lower(n), x["v"])), 0)["a"]
+    inside = lambda n: tx.let(F.lower(n), lambda low: F.get(F.filter(variants, lambda x: F.contains(low, x["v"])), 0)["a"])
     hits = F.transform(F.filter(names, lambda n: F.coalesce(tx.strip(n), F.lit("")) != ""), lambda n: F.struct(F.coalesce(agency_abbreviation(n), inside(tx.strip(n))).alias("abbreviation"), tx.strip(n).alias("label")))
     return F.get(F.filter(hits, lambda h: h["abbreviation"].isNotNull()), 0)
 
@@ -64,11 +64,16 @@ def agency_in_list(names: Column) -> Column:
 def agency_in_cover(cover: Column) -> Column:
     """struct(abbreviation, label, start): the longest variant of over 3 characters that the cover holds, at its first place."""
     ranked = sorted((x for x in vocab.agency_variants() if len(x[0]) > 3), key=lambda x: (-len(x[0]), x[2]))
-    low = F.lower(cover)
     variants = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(short).alias("a")) for v, short, _ in ranked])
-    hit = F.get(F.filter(variants, lambda x: F.contains(low, x["v"])), 0)
-    at = F.position(hit["v"], low) - 1
-    return F.when(hit.isNotNull(), F.struct(hit["a"].alias("abbreviation"), F.substr(cover, at + 1, F.length(hit["v"])).alias("label"), at.alias("start")))
+
+    def found(low: Column) -> Column:
+        def place(hit: Column) -> Column:
+            at = F.position(hit["v"], low) - 1
+            return F.struct(hit["a"].alias("abbreviation"), F.substr(cover, at + 1, F.length(hit["v"])).alias("label"), at.alias("start"))
+
+        return F.get(F.transform(F.slice(F.filter(variants, lambda x: F.contains(low, x["v"])), 1, 1), place), 0)
+
+    return tx.let(F.lower(cover), found)
 
 
 def nearest_agency(text: Column, ratio: float = 0.85, most: int = 50) -> Column:
@@ -77,9 +82,14 @@ def nearest_agency(text: Column, ratio: float = 0.85, most: int = 50) -> Column:
     variants = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(short).alias("a")) for v, short, _ in vocab.agency_variants()])
 
     def best(s: Column) -> Column:
-        low = F.lower(tx.strip(s))
-        scored = F.transform(variants, lambda x: F.struct((1 - F.levenshtein(low, x["v"]) / F.greatest(F.length(low), F.length(x["v"]), F.lit(1))).alias("score"), x["a"].alias("a")))
-        return F.array_max(F.filter(scored, lambda x: x["score"] >= ratio))["a"]
+        def nearest(low: Column) -> Column:
+            # variants of a very different length cannot be near: their distance is not computed
+            n = F.length(low)
+            some = F.filter(variants, lambda x: F.least(n, F.length(x["v"])) >= ratio * F.greatest(n, F.length(x["v"])))
+            scored = F.transform(some, lambda x: F.struct((1 - F.levenshtein(low, x["v"]) / F.greatest(n, F.length(x["v"]), F.lit(1))).alias("score"), x["a"].alias("a")))
+            return F.array_max(F.filter(scored, lambda x: x["score"] >= ratio))["a"]
+
+        return tx.let(F.lower(tx.strip(s)), nearest)
 
     hits = F.transform(stretches, lambda s: F.struct(best(s).alias("abbreviation"), tx.strip(s).alias("label")))
     return F.get(F.filter(hits, lambda h: h["abbreviation"].isNotNull()), 0)

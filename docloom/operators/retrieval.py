@@ -138,7 +138,7 @@ def window_bounds(windows: DataFrame) -> DataFrame:
 
 def cued_spans(spans: DataFrame, most: int = 3, shortest: int = 30, longest: int = 400) -> DataFrame:
     """Spans (doc_id, block_id, n, text) of a fair length with the most cues of a stance, of equals the first; score and rank."""
-    score = F.size(F.filter(F.lit(vocab.CUES), lambda c: F.contains(F.lower("text"), c)))
+    score = tx.let(F.lower("text"), lambda low: F.size(F.filter(F.lit(vocab.CUES), lambda c: F.contains(low, c))))
     rows = spans.where(F.length("text").between(shortest, longest)).withColumn("score", score)
     w = Window.partitionBy("doc_id", "block_id").orderBy(F.desc("score"), "n")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

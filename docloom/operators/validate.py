@@ -138,8 +138,8 @@ def violations(parts: dict[str, DataFrame]) -> DataFrame:
 
 def agency_supported(name: Column, aliases: Column, text: Column) -> Column:
     """An agency's name or an alias of it stands in the text; no agency passes."""
-    low = F.lower(text)
-    return name.isNull() | F.exists(F.array_append(F.coalesce(aliases, F.array().cast("array<string>")), name), lambda a: (F.coalesce(a, F.lit("")) != "") & F.contains(low, F.lower(a)))
+    names = F.array_append(F.coalesce(aliases, F.array().cast("array<string>")), name)
+    return name.isNull() | tx.let(F.lower(text), lambda low: F.exists(names, lambda a: (F.coalesce(a, F.lit("")) != "") & F.contains(low, F.lower(a))))
 
 
 def claim_downgrades(verdicts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -353,12 +354,16 @@ def _(spark, sf_dir):
 # entities
 
 
-@query("agency_hits", f"""{E_}, v(v, c) AS (VALUES {', '.join(f"('{v}', '{vocab.AGENCIES[s][0]}')" for v, s, _ in vocab.agency_variants() if v in ('u.s. forest service', 'forest service', 'bureau of land management', 'fhwa', 'department of the army', 'us epa'))})
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'U.S. Forest Service' WHEN 1 THEN 'Bureau of Land Management' WHEN 2 THEN 'Federal Highway Administration' WHEN 3 THEN 'U.S. Department of Defense' ELSE 'Environmental Protection Agency' END AS canonical,
-CAST(position(CASE doc_id % 6 WHEN 0 THEN 'U.S. Forest' WHEN 1 THEN 'Bureau of' WHEN 2 THEN 'FHWA' WHEN 3 THEN 'Department of the Army' ELSE 'US EPA' END IN text) - 1 AS INT) AS first_at FROM e WHERE doc_id % 6 <> 4""")
+_VARIANTS = vocab.agency_variants()
+_ANY = "(?i)\\b(?:" + "|".join(re.escape(v).replace("\\ ", " ") for v in sorted({v for v, _, _ in _VARIANTS}, key=lambda v: (-len(v), v))) + ")\\b"
+_SPANS = "h AS (SELECT doc_id, ms[i] AS m, list_sum([length(x) for x in ps[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS s FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM t))"
+
+
+@query("agency_hits", f"""{E_}, t AS (SELECT doc_id, regexp_split_to_array(text, '{_ANY}') AS ps, regexp_extract_all(text, '{_ANY}') AS ms FROM e), {_SPANS}, v(v, c) AS (VALUES {', '.join(f"('{v}', '{vocab.AGENCIES[k][0]}')" for v, k, _ in _VARIANTS)})
+SELECT doc_id, c AS canonical, CAST(min(s) AS INT) AS first_at, count(*) AS n FROM h JOIN v ON lower(m) = v.v GROUP BY ALL""")
 def _(spark, sf_dir):
     """J15-J17."""
-    return lookup.agency_hits(eis(spark, sf_dir)).select("doc_id", "canonical", "first_at")
+    return lookup.agency_hits(eis(spark, sf_dir))
 
 
 @query("scored_entities", f"""WITH {_CHUNKS}, nm(name, source, o) AS (VALUES ('the', 'ner', 1), ('Erin', 'dictionary', 2), ('and that', 'ner', 3), ('zzzz', 'dictionary', 4)),
@@ -384,32 +389,46 @@ def _(spark, sf_dir):
 # header fields
 
 
-@query("document_types", f"""{E_} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Draft' WHEN 1 THEN 'Final' WHEN 2 THEN 'Supplemental' WHEN 3 THEN 'ROD' ELSE 'Unknown' END AS sampled, CASE doc_id % 5 WHEN 0 THEN 'Draft' WHEN 1 THEN 'Final' WHEN 2 THEN 'Supplemental' END AS cover,
-CASE doc_id % 5 WHEN 0 THEN 'Draft' WHEN 1 THEN 'Final' ELSE 'Unlabelled' END AS by_words, CASE doc_id % 5 WHEN 0 THEN 0.95 WHEN 1 THEN 0.95 WHEN 2 THEN 0.95 ELSE 0.3 END AS confidence FROM e""")
+_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(h, '(?i){p}') THEN '{k}'" for k, p in vocab.TYPE_PATTERNS.items()) + " END"
+_SAID = f"lower(regexp_extract(c, '(?i){vocab.COVER_TYPE}', 1))"
+
+
+@query("document_types", f"""{E_}, t AS (SELECT doc_id, substring(text, 1, 5000) AS h, substring(text, 1, 7500) AS c, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:250], ' ') AS w FROM e),
+f AS (SELECT doc_id, {_TYPE} AS sampled, CASE WHEN {_SAID} LIKE 'supplemental%' THEN 'Supplemental' WHEN {_SAID} LIKE 'draft%' THEN 'Draft' WHEN {_SAID} LIKE 'final%' THEN 'Final' END AS cover, list_filter([{', '.join(f"CASE WHEN regexp_matches(w, '(?i){p}') THEN '{k}' END" for k, p in vocab.TYPE_WORDS.items())}], lambda x: x IS NOT NULL) AS ws FROM t)
+SELECT doc_id, coalesce(sampled, 'Unknown') AS sampled, cover, CASE WHEN len(ws) = 1 THEN ws[1] ELSE 'Unlabelled' END AS by_words, CASE WHEN cover IS NULL THEN 0.3 ELSE 0.95 END AS confidence FROM f""")
 def _(spark, sf_dir):
     """P05, F12, F13, X18."""
-    head = F.substring("text", 1, 150)
-    return eis(spark, sf_dir).select("doc_id", tx.document_type(F.lit(""), head).alias("sampled"), tx.cover_type(head).alias("cover"), tx.type_by_words(head).alias("by_words"), fields.record_type(head, F.lit(None).cast("string"), False)["confidence"].alias("confidence"))
+    cover = tx.first_pages("text", 3)
+    return eis(spark, sf_dir).select("doc_id", tx.document_type(F.lit(""), tx.first_pages("text", 2)).alias("sampled"), tx.cover_type(cover).alias("cover"), tx.type_by_words("text").alias("by_words"), fields.record_type(cover, F.lit(None).cast("string"), False)["confidence"].alias("confidence"))
 
 
-@query("type_agreement", f"""{E_}, t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Draft' WHEN 1 THEN 'Final' WHEN 2 THEN 'Supplemental' WHEN 3 THEN 'ROD' END AS r, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'Draft' ELSE 'Final' END AS m FROM e)
+@query("type_agreement", f"""{E_}, t AS (SELECT doc_id, {_TYPE} AS r, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'Draft' ELSE 'Final' END AS m FROM (SELECT doc_id, substring(text, 1, 2500) AS h FROM e))
 SELECT doc_id, coalesce(r, m, 'Unknown') AS value, CASE WHEN r = m THEN 'high' WHEN r IS NULL AND m IS NULL THEN 'low' WHEN r IS NULL OR m IS NULL THEN 'medium' ELSE 'low' END AS confidence FROM t""")
 def _(spark, sf_dir):
     """X02."""
     answer = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 2 == 0, "Draft").otherwise("Final")
-    got = fields.type_of(F.substring("text", 1, 150), answer)
+    got = fields.type_of(F.col("text"), answer)
     return eis(spark, sf_dir).select("doc_id", got["value"].alias("value"), got["confidence"].alias("confidence"))
 
 
-@query("years", f"""{E_}, y AS (SELECT doc_id, 1970 + doc_id % 50 AS a, 1970 + doc_id % 7 AS b, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1970 + doc_id % 20 END AS w FROM e)
-SELECT doc_id, CAST(a AS INT) AS first_seen, CAST(greatest(a, b) AS INT) AS latest, CAST(a AS INT) AS weighted, CAST(coalesce(w, a) AS INT) AS value, CASE WHEN w = a THEN 'high' WHEN w IS NOT NULL THEN 'low' ELSE 'medium' END AS confidence FROM y""")
+def _top(ys: str, order: str) -> str:
+    """(doc_id, y) of the most frequent year of a list column, by an order of n (count), f (first place) and y."""
+    return f"SELECT doc_id, arg_max(y, {order}) AS y FROM (SELECT doc_id, y, count(*) AS n, min(i) AS f FROM (SELECT doc_id, CAST(unnest({ys}) AS INT) AS y, unnest(range(1, len({ys}) + 1)) AS i FROM l) WHERE y BETWEEN 1969 AND 2026 GROUP BY ALL) GROUP BY doc_id"
+
+
+_DATED = ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in vocab.DATES)
+
+
+@query("years", f"""{E_}, l AS (SELECT doc_id, regexp_extract_all(substring(text, 1, 7500), '\\b(19[6-9]\\d|20[0-2]\\d)\\b', 1) AS ys, list_concat(d, d, d, regexp_extract_all(text, '\\b(\\d{{4}})\\b', 1)) AS ws FROM (SELECT *, list_concat({_DATED}) AS d FROM e)),
+a AS ({_top('ys', 'n * 1000000 - f')}), b AS ({_top('ys', 'n * 1000000 + y')}), c AS ({_top('ws', 'n * 1000000 - f')}), w AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1970 + doc_id % 20 END AS w FROM e)
+SELECT w.doc_id, a.y AS first_seen, b.y AS latest, c.y AS weighted, CAST(coalesce(w, a.y) AS INT) AS value, CASE WHEN w = a.y THEN 'high' WHEN w IS NOT NULL AND a.y IS NOT NULL THEN 'low' WHEN w IS NOT NULL THEN 'high' WHEN a.y IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence
+FROM w LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)""")
 def _(spark, sf_dir):
     """A09-A11, F09, V09."""
-    head = F.substring("text", 1, 130)
     work = F.when(F.col("doc_id") % 4 == 0, None).otherwise(1970 + F.col("doc_id") % 20).cast("int")
-    found = tx.years(head)
-    got = fields.year_of(work, head)
-    return eis(spark, sf_dir).select("doc_id", tx.top_year(found).alias("first_seen"), tx.top_year(found, "latest").alias("latest"), tx.weighted_year(head).alias("weighted"), got["value"].alias("value"), got["confidence"].alias("confidence"))
+    found = tx.years(tx.first_pages("text", 3))
+    got = fields.year_of(work, F.col("text"))
+    return eis(spark, sf_dir).select("doc_id", tx.top_year(found).alias("first_seen"), tx.top_year(found, "latest").alias("latest"), tx.weighted_year("text").alias("weighted"), got["value"].alias("value"), got["confidence"].alias("confidence"))
 
 
 @query("parsed_dates", """SELECT d AS raw, CAST(y AS INT) AS year, v AS value, p AS precision FROM (VALUES ('2017', 2017, '2017', 'year'), ('2017-05', 2017, '2017-05', 'month'), ('2017-05-09', 2017, '2017-05-09', 'day'), ('2017-13-45', 2017, '2017', 'year'), ('circa 1984?', 1984, '1984', 'year'), ('n.d.', NULL, NULL, NULL), ('', NULL, NULL, NULL)) AS t(d, y, v, p)""")
@@ -420,24 +439,24 @@ def _(spark, sf_dir):
     return rows.select("raw", got["year"].alias("year"), got["value"].alias("value"), got["precision"].alias("precision"))
 
 
-@query("record_headers", f"""{E_} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.99 ELSE NULL END AS title_confidence, CAST(CASE WHEN doc_id % 4 = 0 THEN 1990 ELSE greatest(1970 + doc_id % 50, 1970 + doc_id % 7) END AS INT) AS year, CASE WHEN doc_id % 4 = 0 THEN 'extracted_from_mets' ELSE 'needs_review' END AS year_status,
-CASE WHEN doc_id % 9 = 1 THEN 'BLM' WHEN doc_id % 6 = 0 THEN 'USFS' WHEN doc_id % 6 = 1 THEN 'BLM' WHEN doc_id % 6 = 2 THEN 'FHWA' WHEN doc_id % 6 = 3 THEN 'DOD' WHEN doc_id % 6 = 5 THEN 'EPA' WHEN doc_id % 9 = 2 THEN 'Road Board' END AS agency,
-CASE WHEN doc_id % 9 = 1 THEN 0.99 WHEN doc_id % 6 <> 4 THEN 0.85 WHEN doc_id % 9 = 2 THEN 0.6 END AS agency_confidence FROM e""")
+@query("record_headers", f"""{E_}, v(v, a, o) AS (VALUES {', '.join(f"('{v}', '{k}', {o})" for v, k, o in _VARIANTS if len(v) > 3)}), c AS (SELECT doc_id, arg_max(a, length(v) * 1000 - o) AS a FROM e JOIN v ON contains(lower(substring(text, 1, 7500)), v) GROUP BY doc_id),
+l AS (SELECT doc_id, regexp_extract_all(substring(text, 1, 12500), '\\b(19[7-9]\\d|20\\d{{2}})\\b', 1) AS ys FROM e), y AS ({_top('ys', 'n * 1000000 + y')})
+SELECT e.doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.99 END AS title_confidence, CAST(CASE WHEN doc_id % 4 = 0 THEN 1990 ELSE y.y END AS INT) AS year, CASE WHEN doc_id % 4 = 0 THEN 'extracted_from_mets' ELSE 'needs_review' END AS year_status,
+CASE WHEN doc_id % 9 = 1 THEN 'BLM' WHEN c.a IS NOT NULL THEN c.a WHEN doc_id % 9 = 2 THEN 'Road Board' END AS agency, CASE WHEN doc_id % 9 = 1 THEN 0.99 WHEN c.a IS NOT NULL THEN 0.85 WHEN doc_id % 9 = 2 THEN 0.6 END AS agency_confidence FROM e LEFT JOIN y USING (doc_id) LEFT JOIN c USING (doc_id)""")
 def _(spark, sf_dir):
     """X15-X17, J11-J13, M11, without a model."""
     none = F.lit(None).cast("string")
     title = fields.record_title(F.when(F.col("doc_id") % 3 == 0, "A catalog title"), none, False)
-    front = F.substring("text", 1, 130)
-    year = fields.record_year(F.when(F.col("doc_id") % 4 == 0, "1990-06-01"), front)
+    year = fields.record_year(F.when(F.col("doc_id") % 4 == 0, "1990-06-01"), tx.first_pages("text", 5))
     names = F.when(F.col("doc_id") % 9 == 1, F.array(F.lit("Bureau of Land Management (issuing body)"))).when(F.col("doc_id") % 9 == 2, F.array(F.lit("Road Board"))).otherwise(F.array().cast("array<string>"))
-    agency = fields.record_agency(names, front, none, False)
+    agency = fields.record_agency(names, tx.first_pages("text", 3), none, False)
     return eis(spark, sf_dir).select("doc_id", title["confidence"].alias("title_confidence"), year["year"]["value"].alias("year"), year["year"]["status"].alias("year_status"), agency["value"].alias("agency"), agency["confidence"].alias("agency_confidence"))
 
 
 @query("lead_agency")
 def _(spark, sf_dir):
     """J14, F22, V20."""
-    got = lookup.lead_agency(F.when(F.col("doc_id") % 5 == 0, "forest service"), F.substring("text", 1, 150))
+    got = lookup.lead_agency(F.when(F.col("doc_id") % 5 == 0, "forest service"), tx.first_pages("text", 3))
     rows = eis(spark, sf_dir).select("doc_id", "text", got.alias("a"))
     return rows.select("doc_id", "a.name", "a.abbreviation", "a.source", validate.agency_supported(F.col("a.name"), F.array("a.abbreviation"), F.col("text")).alias("supported"))
 
@@ -654,14 +673,13 @@ def _(spark, sf_dir):
 # normalisation, JSON, confidences, replay
 
 
-@query("normalised_text", r"""WITH t AS (SELECT doc_id, concat('“A–b’s…”', chr(160), 'hy-', chr(10), '  phen', substring(text, 1, 100)) AS raw FROM documents WHERE regexp_full_match(substring(text, 1, 100), '[ -~]*'))
-SELECT doc_id, concat('"A-b''s..."', ' ', 'hyphen', substring(raw, 20)) AS norm FROM t WHERE false""")
+@query("normalised_text", """SELECT doc_id, regexp_replace(translate(concat('“A–b’s” hy-', chr(10), '  phen', text), '“”’–', '""''-'), '-[\\r\\n]+[ \\t]*', '', 'g') AS norm FROM documents WHERE NOT regexp_matches(text, '[‘—…\\x{a0}]')""")
 def _(spark, sf_dir):
-    """What the spans map adds up to, as breaches: none."""
-    raw = F.concat(F.lit("“A–b’s…” hy-\n  phen"), F.substring("text", 1, 100))
-    rows = docs_of(spark, sf_dir).select("doc_id", raw.alias("raw")).select("doc_id", "raw", sp.aligned(F.col("raw")).alias("a"))
-    covered = F.aggregate("a.spans", F.lit(0), lambda s, x: s + x["norm_end"] - x["norm_start"])
-    return rows.where((covered != F.length("a.text")) | F.col("a.text").rlike("[“”’–…]")).select("doc_id", F.col("a.text").alias("norm"))
+    """The text, of documents whose map of spans covers it without gaps."""
+    raw = F.concat(F.lit("“A–b’s” hy-\n  phen"), "text")
+    rows = docs_of(spark, sf_dir).where(~F.col("text").rlike("[‘—…\u00a0]")).select("doc_id", sp.aligned(raw).alias("a"))
+    covered = F.aggregate("a.spans", F.lit(0), lambda s, x: F.when(x["norm_start"] == s, x["norm_end"]).otherwise(-1))
+    return rows.where(covered == F.length("a.text")).select("doc_id", F.col("a.text").alias("norm"))
 
 
 @query("salvaged_json", """SELECT i, n FROM (VALUES (1, 2), (2, 1), (3, 1), (4, 2), (5, NULL)) AS v(i, n)""")
