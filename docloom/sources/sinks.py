@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ def checkpointed(todo: DataFrame, path: str, stage: Callable[[DataFrame], DataFr
 
 def tried(rows: DataFrame, column: str, make: Callable, kind: str = "string") -> DataFrame:
     """rows with a column made row by row where a failure fills `error` instead of ending the job."""
-    import pandas as pd
-
     @F.pandas_udf(f"struct<value:{kind},error:string>")
     def run(s: pd.Series) -> pd.DataFrame:
         out = []
