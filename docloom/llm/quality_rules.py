@@ -123,8 +123,10 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, min_prec
                         best = (float(gain[k]), (name, above, float(cuts[name][k])))
             if best[1] is None:
                 break
-            grown.append(best[1])
-            inside &= Rule((best[1],), 0).holds(x)
+            name, above, at = best[1]
+            below = x[name][inside & (x[name] < at)]
+            grown.append((name, above, float((at + below.max()) / 2) if len(below) else at))  # halfway to the next value
+            inside &= Rule((grown[-1],), 0).holds(x)
         if not grown:
             break
         scored = []
@@ -147,7 +149,7 @@ def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", sample: int
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     some = bounded_sample(marked, "doc_id", sample).withColumnRenamed("doc_id", "_doc_id")
     rows = stats.withColumn("_doc_id", F.col(f"_row.`{doc_id}`")).join(F.broadcast(some), "_doc_id").groupBy("_doc_id").agg(F.min("_quality").alias("_quality"), *[F.min(c).alias(c) for c in COUNTS + RATIOS]).limit(sample).toPandas()
-    rows = rows.sort_values("_doc_id")
+    rows = rows[(rows["n_words"] >= 50) & (100 * rows["n_repeat_words"] <= 50 * rows["n_words"])].sort_values("_doc_id")  # what the base rule leaves
     bad = rows["_quality"].to_numpy() == 0
     if not bad.any() or bad.all():
         return []
