@@ -163,6 +163,7 @@ LABELLED = [
     (45, 0.0, 5, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (60, 0.05, 45, 0.0, 80, 0.0, 0, 0, 0, 0, 1), (18, 0.0, 80, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
     (12, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 70, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
     (80, 0.1, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 1), (22, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 22, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
+    (25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (14, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 2, 1.0, 45, 0.0, 0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
     (9, 0.7, 3, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (20, 0.8, 4, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
     (3, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (40, 0.9, 60, 0.0, 30, 0.9, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0),

@@ -70,9 +70,11 @@ def parse_record(data: memoryview | bytes, at: int) -> tuple[dict, bytes, int]:
     headers = {}
     for line in top[:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or not re.fullmatch(rb"[\x21-\x7e]+", name.strip()):
             raise Bad("header line")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
+        raise Bad("mandatory header")
     if not headers.get("content-length", "").isdigit():
         raise Bad("content length")
     begin = at + stop + 4
