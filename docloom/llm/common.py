@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def latin(kinds: str) -> str:
+    """Characters of general categories, up to U+024F, for a character class."""
+    return "".join(f"\\U{i:08x}" for i in range(0xA1, 0x250) if unicodedata.category(chr(i))[0] in kinds)
+
+
+#: Latin letters and numbers for character classes, and texts that hold them, punctuation, tabs and line ends alone.
+LETTERS, NUMBERS = "a-zA-Z" + latin("L"), "0-9" + latin("N")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f]*+")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Set here only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -34,6 +46,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of fewer rows than Spark's default of 10,000, unless the session sets a number of its own: a batch holds whole texts, at once in Spark and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -50,6 +69,7 @@ def text_map(df: DataFrame, make: Callable[[], Callable[[list[str]], list[list]]
     make() is called once in each task and returns a function from a list of texts to a list of columns.
     The columns in `keep` (all but the text by default) go through unchanged.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text] if keep is None else keep
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     kinds = [_arrow(f.dataType) for f in fields]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import double, long, packed, table
+from docloom.llm.common import double, long, packed, small_batches, table
 
 WORD = re.compile(r"\w+")
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -210,6 +210,7 @@ def document_frequencies(rows: DataFrame, vocabulary: dict[str, int]) -> tuple[i
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.5, overlap: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """(_row, hits) for every row of docs: HIT of each item that leaks into it. keep: the columns in _row, all by default."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = packed(docs, text) if keep is None else docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
     items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).groupBy(F.col(f"`{item_id}`").cast("long").alias("id")).agg(F.min(F.col(f"`{item_text}`")).alias("t"))
     shards = max(1, math.ceil(items.count() / SHARD))

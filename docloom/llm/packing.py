@@ -15,7 +15,6 @@ packed each; an empty table gives no piece; other columns go through in _row. se
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,17 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import long, table
+from docloom.llm.common import LETTERS, NUMBERS, PLAIN, long, small_batches, table
 
 CAPACITY = 2048
 PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _class(kinds: str) -> str:
-    """Characters of general categories, up to U+024F, for a character class."""
-    return "".join(f"\\U{i:08x}" for i in range(0xA1, 0x250) if unicodedata.category(chr(i))[0] in kinds)
-
-
 class WordTokens:
     """Token ids of a text as little-endian unsigned 32-bit bytes, for a tokenizer that drops white space and encodes words alone.
 
@@ -45,7 +39,7 @@ class WordTokens:
     word by word through a cache; all other texts, and those that may hold special tokens, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,8 +48,8 @@ class WordTokens:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        letters, numbers = "a-zA-Z" + _class("L"), "0-9" + _class("N")
-        self.plain = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*+")
+        letters, numbers = LETTERS, NUMBERS
+        self.plain = PLAIN
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
         self.cache: dict[str, bytes] = {}
         self.most = most
@@ -206,6 +200,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
     A task holds the ids of at most some 4096 waiting documents: their pieces go out as their windows fill.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
     schema = T.StructType([rows.schema["_row"], *map(long, PIECE)])

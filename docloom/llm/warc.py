@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import long, scratch, table
+from docloom.llm.common import long, scratch, small_batches, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -217,6 +217,7 @@ def write_archives(rows: DataFrame, folder: str, roll_bytes: int = 16 << 20, lev
         close()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
 
+    small_batches(rows.sparkSession)
     made = rows.sortWithinPartitions("page_id", "url", "revisit").mapInArrow(run, "n long")
     return made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
