@@ -26,6 +26,7 @@ from docloom.llm.common import packed, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels (fixed values).
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 WINDOW, STRIDE = 128, 64
@@ -47,6 +48,11 @@ TEMPLATES = [
 ]
 
 
+def words_of(lowered: Column | str) -> Column:
+    """The words of a lower-cased text. Cutting at what stands between them is several times as fast as matching them."""
+    return F.array_remove(F.split(lowered, BETWEEN, -1), "")
+
+
 def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
     """(label, distinct words, sorted) of each template."""
     if len(templates) > MOST_TEMPLATES:
@@ -93,7 +99,7 @@ def phrase_places(words: Column, lowered: Column) -> Column:
 
 def windows(line: Column) -> Column:
     """The blocks of one line: distinct words of each window."""
-    words = F.regexp_extract_all(line, F.lit(WORDS), F.lit(0))
+    words = words_of(line)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(words) - WINDOW + STRIDE - 1) / STRIDE).cast("int")))
     return F.transform(starts, lambda k: F.slice(words, k * STRIDE + 1, WINDOW))
 
@@ -106,7 +112,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     sets = template_words(templates)
     vocabulary = sorted({w for _, ws in sets for w in ws})
     rows = packed(docs, text).withColumn("_lowered", F.translate("_text", UPPER, LOWER)).drop("_text")
-    rows = rows.withColumn("_words", F.regexp_extract_all("_lowered", F.lit(WORDS), F.lit(0)))
+    rows = rows.withColumn("_words", words_of("_lowered"))
     order = word_order(rows.select("_words"), vocabulary)
     rank = {w: k for k, w in enumerate(order)}
     index: dict[str, list[tuple[int, int]]] = {}
