@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import spans as sp
 from docloom.functions import text as tx
 from docloom.operators import entities, fields, lookup, model, retrieval, segment, selection, usage, validate
-from docloom.plans import vocab
+from docloom.plans import records, vocab
 from docloom.plans.views import EIS, MENTIONS, USAGE, VERDICTS, eis, mentions, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -716,3 +716,50 @@ def _(spark, sf_dir):
     prompts = docs_of(spark, sf_dir).select("doc_id", model.filled("Which number is {n}?", n=F.col("doc_id")).alias("prompt"), F.lit("any").alias("model"))
     table = prompts.where("doc_id % 3 <> 0").select(model.prompt_hash(F.col("prompt"), F.col("model")).alias("prompt_hash"), "model", F.concat(F.lit('Sure: {"answer": '), F.col("doc_id") % 7, F.lit("}")).alias("response"), F.lit(10).cast("long").alias("input_tokens"), F.lit(3).cast("long").alias("output_tokens"), F.lit(None).cast("string").alias("error"))
     return model.answered(prompts, table).select("doc_id", F.try_variant_get("parsed", "$.answer", "long").alias("answer"), "error")
+
+
+# whole lineages
+
+
+@query("strict_records")
+def _(spark, sf_dir):
+    """One wide row for each document."""
+    return records.strict_records(eis(spark, sf_dir))
+
+
+@query("ingested")
+def _(spark, sf_dir):
+    """S02, C27, C28, F19, M10."""
+    return records.ingested(eis(spark, sf_dir)).select("doc_id", "text_id", F.length("normalized.text").alias("n"), F.size("normalized.spans").alias("spans"), F.size("pages").alias("pages"), "components")
+
+
+@query("critiqued_entries", f"""WITH m AS ({_MERGED}) SELECT doc_id, sequence, CASE WHEN NOT summary_quote_verified OR kind = 'individual' OR sequence % 3 = 0 THEN 'HUMAN_REVIEW' ELSE 'PASS' END AS critic_verdict FROM m""")
+def _(spark, sf_dir):
+    """A critic's recorded answers, with every third one missing."""
+    entries = merged_entries(spark, sf_dir)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    texts = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    cited = lookup.cited_text(F.col("text"), F.col("evidence_pages"), 60_000, single=True)
+    prompt = model.filled(records.CRITIC, rubric=F.lit("be fair"), entity=F.col("entity"), kind=F.col("kind"), stance=F.col("stance"), quote=F.col("summary_quote"), cited=F.col("cited"))
+    asked = entries.join(texts, "doc_id").withColumn("cited", cited).where("sequence % 3 <> 0").select(model.prompt_hash(prompt, F.lit("critic")).alias("prompt_hash")).distinct()
+    table = asked.select("prompt_hash", F.lit("critic").alias("model"), F.lit('{"verdict": "PASS", "notes": ""}').alias("response"), F.lit(1).cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.lit(None).cast("string").alias("error"))
+    return records.critiqued(entries, texts, table, "be fair").select("doc_id", "sequence", "critic_verdict")
+
+
+@query("entity_records")
+def _(spark, sf_dir):
+    """Dictionary and agency entities by score."""
+    return records.entity_record(eis(spark, sf_dir), [("the county", "County"), ("county", "County"), ("road", "Road")])
+
+
+@query("summary_lineage")
+def _(spark, sf_dir):
+    """Chunk prompts and their reduction, from a replay table made of the same rules."""
+    docs = eis(spark, sf_dir)
+    chunks = retrieval.tagged_first(segment.labelled_chunks(segment.fixed_chunks(docs, 2000, 1800), segment.chapters(docs)).withColumnRenamed("chunk", "chunk_index"), 12).withColumnRenamed("chunk_index", "chunk")
+    row = lambda p, name, text: p.select(model.prompt_hash(F.col("prompt"), F.lit(name)).alias("prompt_hash"), F.lit(name).alias("model"), F.lit(text).alias("response"), F.lit(1).cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.lit(None).cast("string").alias("error")).distinct()
+    first = row(fields.chunk_prompts(chunks, "Findings of {text}", "map"), "map", '{"found": 1}')
+    said = model.answered(fields.chunk_prompts(chunks, "Findings of {text}", "map"), first)
+    second = row(fields.reduced_prompts(said.select("doc_id", "chunk", "response"), "Reduce {findings}", "reduce"), "reduce", '{"project_description": {"text": "a road", "source_pages": ["1-2"]}}')
+    out = records.summary_lineage(docs, first.union(second), "Findings of {text}", "Reduce {findings}", size=2000, stride=1800)
+    return out.select("doc_id", "n_chunks", "summary.project_description.text", F.size("summary.public_response.source_pages").alias("missing"))
