@@ -119,10 +119,25 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-def entity_key(name: Column | str, fold: bool = True) -> Column:
-    """A name without accents, brackets, punctuation, honorifics and articles, in lower case. Only names beyond ASCII pay for the accents."""
-    c = col(name)
-    s = F.when(c.rlike(r"[^\x00-\x7F]"), fold_accents(c)).otherwise(c) if fold else c
+def _folds() -> tuple[str, str]:
+    """Letters and signs of the Latin, Greek and Cyrillic blocks that decompose to one character, and those characters."""
+    pairs = []
+    for i in (*range(0xA0, 0x530), *range(0x1E00, 0x2000)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(i):
+            pairs.append((chr(i), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+FOLDED = _folds()
+
+
+def entity_key(name: Column | str, exact: bool = False) -> Column:
+    """A name without accents, brackets, punctuation, honorifics and articles, in lower case.
+
+    Accents are folded by a table of letters and by dropping combining marks; exact folds all of Unicode (NFKD), in Python.
+    """
+    s = fold_accents(col(name)) if exact else F.regexp_replace(F.translate(col(name), *FOLDED), r"\p{Mn}", "")
     s = F.regexp_replace(F.lower(s), r"\([^)]*\)", " ")
     s = F.regexp_replace(s, r"(?U)[^\w\s]", " ")
     s = F.regexp_replace(s, rf"(?U)\b(?:{'|'.join(vocab.HONORIFICS)})\b", " ")

@@ -40,13 +40,13 @@ def verified(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.withColumn("verify_note", F.when(~F.col("quote_verified"), UNVERIFIED))
 
 
-def merged(mentions: DataFrame, fold: bool = True) -> DataFrame:
+def merged(mentions: DataFrame, exact: bool = False) -> DataFrame:
     """One row for each document, entity and stance, numbered by first appearance.
 
     Members are ordered by chunk, name as written, and `ord` where the mentions have one (else their quote). Longest
     name and role, most frequent kind, best quote: verified ones first, then the longest; of equals the first.
     """
-    rows = mentions.withColumn("_key", tx.entity_key("entity", fold)).where((F.col("_key") != "") & (F.coalesce("stance", F.lit("")) != ""))
+    rows = mentions.withColumn("_key", tx.entity_key("entity", exact)).where((F.col("_key") != "") & (F.coalesce("stance", F.lit("")) != ""))
     ord_ = F.col("ord") if "ord" in mentions.columns else F.col("quote")
     member = F.struct(F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), F.coalesce("entity", F.lit("")).alias("entity"), ord_.alias("ord"), "kind", "role", "attribution_mode", "quote", "quote_verified", "evidence_pages", F.coalesce("stance_basis", F.lit("")).alias("stance_basis"))
     groups = rows.groupBy("doc_id", "_key", "stance").agg(F.array_sort(F.collect_list(member)).alias("m"))

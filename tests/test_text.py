@@ -24,7 +24,7 @@ def value(spark):
     [("Dr. José Núñez (Sierra Club)", "jose nunez"), ("THE  County of Kane", "county of kane"), ("Sen. A. Smith-Jones", "smith jones"), ("", ""), (None, None), ("(only)", ""), ("hon", "")],
 )
 def test_entity_key(value, name, key):
-    assert value(tx.entity_key("n"), n=name) == key
+    assert value(tx.entity_key("n"), n=name) == value(tx.entity_key("n", exact=True), n=name) == key
 
 
 @pytest.mark.parametrize(
