@@ -295,3 +295,26 @@ def test_piece_counts_are_the_librarys():
     assert w.fast
     texts = ["", " \n\t", "It's ÉCOLE, naïve & <|endoftext|> x", "12²½ a_b—c", "ΣΑΣ İstanbul", "日本 a😀b", "a b\x1cc", "don't WE'LL 'S ''s", "a  b   c\n\n\nd  ", "\r\n x", "x" * 5000]
     assert w(texts) == w._whole(texts)
+
+
+@pytest.mark.parametrize(("large", "huge", "block"), [(1, 4096, 3), (1, 4, 3), (4096, 4096, 256)])
+def test_every_way_through_a_bucket(spark, monkeypatch, large, huge, block):
+    """Small buckets meet in a join, larger ones in blocks, huge ones by two bands: the classes are the same, but for rare pairs of the last way."""
+    monkeypatch.setattr(near_dup, "LARGE", large)
+    monkeypatch.setattr(near_dup, "HUGE", huge)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    texts = {}
+    for _ in range(4):
+        chain = r.choices(words, k=120)
+        for _ in range(25):  # a chain of edits: far ends are linked through the middle alone
+            chain = list(chain)
+            for _ in range(2):
+                chain[r.randrange(120)] = r.choice(words)
+            texts[len(texts)] = " ".join(chain)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dup.classes(docs).collect()}
+    want = brute(texts)
+    missed = [(a, b) for a, b in itertools.combinations(texts, 2) if want[a] == want[b] and got[a] != got[b]]
+    assert not missed
