@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.sql()}
+    return {"op2_license_scan": license_scan.sql(), "op4_warc": warc.sql()}

@@ -247,3 +247,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
     write_archives(assign(table(spark, sf_dir, "pages")), folder)
     return read_archives(spark, folder, payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def sql() -> str:
+    """The query's rows in DuckDB SQL; base32 is spelled out from the bits of the hexadecimal digest."""
+    bit = lambda j: f"(ascii(substring(bits, 5 * k + {j + 1}, 1)) - 48) * {16 >> j}"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+b AS (SELECT page_id, strlen(body) AS n, sha1(body) AS sha, array_to_string(list_transform(string_split(sha1(body), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM p),
+d AS (SELECT page_id, n, sha, array_to_string(list_transform(range(0, 32), lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {' + '.join(bit(j) for j in range(5))} + 1, 1)), '') AS digest, min(page_id) OVER (PARTITION BY sha) AS first FROM b)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CAST(CASE WHEN page_id <> first THEN first END AS BIGINT) AS refers_to FROM d"""
