@@ -1,16 +1,20 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
 A shingle is five consecutive words (lower-cased runs of letters, digits and underscores); a shorter text is one
-shingle. Its weight is its count in the text times 1 + ln(N / n) / ln(BUCKETS), n being the number of documents with a
-shingle of its hash bucket, counted over all documents; so n is at least the shingle's own document frequency, weights
-of shingles that few documents have are alike at any size of the corpus, and boilerplate weighs up to half. Weights
-are rounded to a grid of steps of 1/16 in the logarithm, for sampling and verification alike.
+shingle. Its weight is its count in the text times its inverse document frequency 2 ln(N / n), at least 1; n counts,
+over all documents, those with a shingle of its hash bucket (of BUCKETS). So n is at least the shingle's own document
+frequency, weights of shingles that few documents have are alike at any size of the corpus, and passages that many
+documents share weigh little. Weights are rounded to a grid of steps of 1/16 in the logarithm, for sampling and
+verification alike.
 
 Exact copies share one node (the text's digest). 64 consistent weighted samples a node make 16 bands of 4. In each
-bucket every node is paired with the first; pairs that agree in half their samples are verified on whole texts by
-weighted Jaccard similarity of 0.8 or more (or, for texts just below, by that of the plain sets). After components of those links are known, the nodes of one bucket that
-are still in different components are paired too, so no pair that shares a bucket is left out unless it is already
-connected; in a bucket of over 128 such nodes a pair must share a second band (0.997 of pairs at similarity 0.8 do).
+bucket every node is paired with the first, and then the nodes not yet connected with it with a second. Pairs that agree in enough samples (least_agreement) are verified on whole
+texts: weighted Jaccard similarity of 0.8 or more, or that of the plain sets, since copies in a very large group share only
+shingles of low weight. Then the nodes of one bucket that are still in different components are all held against each
+other, by their samples inside the join and by their texts, so no pair that shares a bucket is left out unless it is
+already connected. In a bucket of over HUGE nodes such a pair must share a second band (0.997 of pairs at similarity
+0.8 do): passages shared by many documents then do not pair all of them.
+
 Nothing is gathered by group: buckets are joined and aggregated, components come from large-star and small-star steps.
 
 Defined results: a text without words is a class of its own; repeated rows and exact copies share a class; class_id is
@@ -19,39 +23,63 @@ the smallest doc_id of a class (nulls aside); other columns do not matter; an em
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import stored, table, text_map
+from docloom.llm.common import double, small_batches, stored, table, text_map
 
-WORD = re.compile(r"\w+")
 SHINGLE, SAMPLES, ROWS, BITS = 5, 64, 4, 18
 BUCKETS = 1 << BITS
-GRID, LEVELS, CELLS = 16, 48, 1 << 16
-LARGE = 128
-
-
-class Hashes(dict):
-    """64-bit hashes of words; emptied when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
+GRID, LEVELS, CELLS = 16, 80, 1 << 16
+LARGE, HUGE, BLOCK = 16, 4096, 256
+
+
+class Hashes:
+    """64-bit hashes of the words of a text, all at once: a polynomial over random numbers for characters, modulo 2^64."""
+
+    BASE = 0x9E3779B97F4A7C15 | 1
+
+    def __init__(self):
+        self.letter = np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
+        self.value = np.random.default_rng(5).integers(0, 1 << 63, 0x110000, np.uint64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = 1 << n.bit_length()
+            with np.errstate(over="ignore"):
+                base, back = np.full(n, self.BASE, np.uint64), np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64)
+                base[0] = back[0] = 1
+                self.up, self.down = np.cumprod(base), np.cumprod(back)
+
+    def __call__(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(codes):
+            return np.empty(0, np.uint64)
+        self.powers(len(codes) + 1)
+        inside = self.letter[codes]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edge = np.append(0, edge)
+        if len(edge) % 2:
+            edge = np.append(edge, len(codes))
+        starts, ends = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            total = np.cumsum(self.value[codes] * self.up[: len(codes)])
+            before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+            h = (total[ends - 1] - before) * self.down[starts]
+            h ^= h >> np.uint64(32)
+            return h * np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: str, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sorted; counts) of the distinct shingles of a text."""
-    words = WORD.findall(text.lower())
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = hashes(text)
     n = max(1, len(h) - SHINGLE + 1) if len(h) else 0
     s = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
@@ -75,12 +103,11 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 class Sampler:
-    """Improved consistent weighted sampling. The gamma and uniform variates of a shingle in sample j are those of cell (a_j * hash + b_j) / 2^48."""
+    """Improved consistent weighted sampling. The gamma and uniform variates of a shingle in sample j are those of the cell that the highest 16 bits of a_j * hash name."""
 
     def __init__(self, seed: int = 20):
         r = np.random.default_rng(seed)
         self.a = r.integers(0, 1 << 63, (SAMPLES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = r.integers(0, 1 << 63, (SAMPLES, 1), np.uint64)
         self.r, self.c, self.beta = r.gamma(2, 1, CELLS), r.gamma(2, 1, CELLS), r.uniform(0, 1, CELLS)
         self.by_level = np.vstack([self.log_a(k / GRID, slice(None)) for k in range(LEVELS)]).astype(np.float32).ravel()
 
@@ -96,9 +123,9 @@ class Sampler:
         won, cell_won = np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
         rows = np.arange(SAMPLES)
         with np.errstate(over="ignore"):
-            for at in range(0, len(s), 4096):
-                cells = ((s[at : at + 4096] * self.a + self.b) >> np.uint64(48)).astype(np.int64)
-                l = level[at : at + 4096]
+            for at in range(0, len(s), 512):
+                cells = (s[at : at + 512] * self.a).view(np.uint16)[:, 3::4]  # the highest 16 bits
+                l = level[at : at + 512]
                 if l.max() < LEVELS:
                     value = self.by_level.take(cells + l * CELLS)
                 else:
@@ -119,7 +146,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         counts, n, hashes = np.zeros(BUCKETS, np.int64), 0, Hashes()
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                some = [np.unique(shingles(t, hashes)[0] >> np.uint64(64 - BITS)).astype(np.int64) for t in b.column("_text").slice(at, 512).to_pylist()]
+                some = [(shingles(t, hashes)[0] >> np.uint64(64 - BITS)).astype(np.int64) for t in b.column("_text").slice(at, 512).to_pylist()]
                 n += sum(len(x) > 0 for x in some)
                 counts += np.bincount(np.concatenate(some), minlength=BUCKETS)
         found = np.flatnonzero(counts)
@@ -133,20 +160,35 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def log_idf(n: int, counts: np.ndarray) -> np.ndarray:
-    share = np.log(np.maximum(n, 1) / np.maximum(counts, 1)) / np.log(BUCKETS)
-    return np.log(1 + np.clip(share, 0, 1)).astype(np.float32)
+    return np.log(np.maximum(2 * np.log(np.maximum(n, 1) / np.maximum(counts, 1)), 1)).astype(np.float32)
+
+
+def least_agreement(w: np.ndarray, threshold: float) -> int:
+    """In how many samples a text of these weights must agree with one that may be similar enough.
+
+    Plain sets of equal size reach the threshold while they differ in at most (1 - t) / (1 + t) of their shingles; if
+    those are the heaviest, the weighted similarity is least. The samples' agreement is 3.5 standard deviations around it.
+    """
+    k = min(len(w), int(np.ceil(len(w) * (1 - threshold) / (1 + threshold))))
+    heavy = float(np.partition(w, len(w) - k)[len(w) - k :].sum())
+    p = min(threshold, max(0.0, (float(w.sum()) - heavy) / (float(w.sum()) + heavy)))
+    return max(1, int(np.floor(SAMPLES * p - 3.5 * np.sqrt(SAMPLES * p * (1 - p)))))
 
 
-def _sampled(idf: np.ndarray):
+def _sampled(idf: np.ndarray, threshold: float):
     def make():
         sampler, hashes = Sampler(), Hashes()
 
         def columns(texts: list[str]) -> list[list]:
-            out = []
+            out, need, mean = [], [], []
             for t in texts:
                 s, n = shingles(t, hashes)
-                out.append(sampler(s, levels(s, n, idf)) if len(s) else [])
-            return [out]
+                level = levels(s, n, idf)
+                out.append(sampler(s, level) if len(s) else [])
+                w = np.exp(level / GRID)
+                need.append(least_agreement(w, threshold) if len(s) else 0)
+                mean.append(float(w.mean()) if len(s) else 0.0)
+            return [out, need, mean]
 
         return columns
 
@@ -175,11 +217,72 @@ def _verified(idf: np.ndarray, threshold: float):
     return run
 
 
-def linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def agreement(a: str, b: str) -> Column:
+    """In how many samples two nodes agree."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z))
+
+
+def bit_of(band: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), band)
+
+
+def shared_bands(a: str, b: str) -> Column:
+    """The bands that two nodes share, as bits."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // ROWS - 1)), lambda j: F.when(F.slice(a, j * ROWS + 1, ROWS) == F.slice(b, j * ROWS + 1, ROWS), bit_of(j)).otherwise(0))
+    return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+
+
+def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in enough samples to be worth their texts."""
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("need").alias(f"need_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(agreement("sig_a", "sig_b") >= F.least("need_a", "need_b")).select("a", "b")
+
+
+def in_join(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes of one key and different parts that agree in enough samples, in small buckets; a pair comes in its first band alone."""
+    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "sig", "need", "usual", "bits")]) for x in "ab")
+    first = shared_bands("sig_a", "sig_b").bitwiseAND(F.col("usual_a")).bitwiseAND(F.col("bits_a") - 1) == 0
+    near = (F.col("part_a") < F.col("part_b")) & (agreement("sig_a", "sig_b") >= F.least("need_a", "need_b")) & first
+    return left.join(right, (left["key"] == right["key"]) & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """As in_join, in larger buckets (of n nodes) and pairs of bands: a bucket is dealt into blocks of some BLOCK nodes, and two blocks meet in one task."""
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "part", "sig", "need", "usual", "huge", "bits")
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(_met, "a binary, b binary")
+
+
+def _met(t: pa.Table) -> pa.Table:
+    sig = np.stack(t.column("sig").to_numpy(zero_copy_only=False)).astype(np.int32)
+    need, usual, huge, bits, block = (t.column(c).to_numpy() for c in ("need", "usual", "huge", "bits", "block"))
+    node, parts = t.column("node").to_pylist(), {}
+    part = np.array([parts.setdefault(p, len(parts)) for p in t.column("part").to_pylist()])
+    low, high = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    found = []
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64]
+        agree = (sig[i][:, None, :] == sig[right][None, :, :]).sum(2)
+        near = (agree >= np.minimum(need[i][:, None], need[right][None, :])) & (part[i][:, None] != part[right][None, :])
+        x, y = np.nonzero(near)
+        x, y = i[x], right[y]
+        if low == high:
+            x, y = x[x < y], y[x < y]
+        shared = ((sig[x] == sig[y]).reshape(-1, SAMPLES // ROWS, ROWS).all(2) * (1 << np.arange(SAMPLES // ROWS))).sum(1)
+        own = bits[x]
+        single = own & (own - 1) == 0
+        top = np.where(single, own, own ^ (own & -own))
+        mine = np.where(single, shared & usual[x] & (own - 1) == 0, (shared & usual[x] == 0) & (shared & huge[x] & (2 * top - 1) == own))
+        found += [(min(node[p], node[q]), max(node[p], node[q])) for p, q in zip(x[mine], y[mine], strict=True)]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
+def linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
-    same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda z: z))
-    near = pairs.join(reps.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(reps.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").where(same * 2 >= SAMPLES).select("a", "b")
-    near = stored(near, "near-pairs")
+    near = stored(pairs, "near-pairs")
     both = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(idf, threshold), near.schema)
 
@@ -187,54 +290,73 @@ def linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray,
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b), and is not a root itself: large-star and small-star until nothing changes."""
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while not _is_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select("v", "m", "u")
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         now = stored(small, "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Every edge leads from a node with no other edge to a root."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """(doc_id, node, class_id) for every row of docs. node: a digest of the text; class_id: the smallest doc_id of the class."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
     idf = log_idf(*document_frequencies(rows.select("_text")))
     node = F.unhex(F.md5(F.col("_text").cast("binary")))
-    every = stored(text_map(rows.withColumn("node", node), _sampled(idf), [T.StructField("sig", T.ArrayType(T.IntegerType()))]), "nodes")
-    reps = stored(every.where(F.size("sig") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "representatives")
+    every = stored(text_map(rows.withColumn("node", node), _sampled(idf, threshold), [T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("need", T.IntegerType()), double("mean")]), "nodes")
+    reps = stored(every.where(F.size("sig") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("need").alias("need"), F.first("mean").alias("mean")), "representatives")
 
     bands = SAMPLES // ROWS
     key = lambda j: F.xxhash64(j, F.slice("sig", j * ROWS + 1, ROWS))
-    keys = lambda sig_rows, *more: sig_rows.select("node", *more, F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("key"))
-    firsts = keys(reps).groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(keys(reps).join(firsts, "key"), "buckets")
-
-    star = members.where("first != node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    keys = reps.select("node", "mean", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("band", "key"))
+    firsts = keys.groupBy("key").agg(F.min(F.struct("mean", "node")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n", F.col("f.node").alias("first"))
+    members = stored(keys.join(firsts, "key"), "buckets")
     wanted = members.select("node").distinct().join(reps.select("node", "doc_id"), "node")
-    texts = rows.withColumn("node", node).join(wanted.select(F.col("doc_id"), F.col("node")), ["doc_id", "node"]).groupBy("node").agg(F.first("_text").alias("text"))
+    texts = rows.withColumn("node", node).join(wanted.select("doc_id", "node"), ["doc_id", "node"]).groupBy("node").agg(F.first("_text").alias("text"))
     texts = stored(texts, "texts")
-    links = stored(linked(star, reps, texts, idf, threshold), "links")
-    part = components(links)
-
-    # nodes of one bucket that the first links have not connected
-    placed = members.select("key", "node", "n").join(part, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    placed = stored(placed.join(open_keys, "key"), "open-buckets")
-    again = placed.where(F.col("n") > LARGE).select(F.col("key").alias("outer"), "node", "part").join(reps.select("node", "sig"), "node")
-    again = keys(again, "outer", "part").where("key != outer").select(F.xxhash64("outer", "key").alias("key"), "node", "part")
-    small = placed.where(F.col("n") <= LARGE).select("key", "node", "part").union(again)
-    left, right = small.select("key", F.col("node").alias("a"), F.col("part").alias("pa")), small.select("key", F.col("node").alias("b"), F.col("part").alias("pb"))
-    rest = left.join(right, "key").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(linked(rest, reps, texts, idf, threshold), "links")
-    roots = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+    # The first node of a bucket is the one of the least mean weight: a copy that was edited least has the fewest rare, heavy
+    # shingles, and most others are near it. A second round does the same for the parts that the first has not reached.
+    tried = stored(members.where("first != node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "star")
+    part = components(linked(agreeing(tried, reps), texts, idf, threshold))
+    left = members.select("key", "node", "mean", "first").join(part, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    main = left.where("node = first").select("key", F.col("part").alias("main"))
+    left = stored(left.join(main, "key").select("key", "node", "mean", "part", "main"), "bucket-parts")
+    second = left.where("part != main").groupBy("key").agg(F.min(F.struct("mean", "node", "part")).alias("s"))
+    again = left.join(second, "key").where(F.col("part") != F.col("s.part")).select(F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    again = stored(again, "star")
+    part = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked(agreeing(again, reps), texts, idf, threshold)))
+    tried = tried.union(again)
+
+    # What is still apart in one bucket: all pairs of nodes of different parts, each pair once. A pair belongs to the first
+    # bucket of at most HUGE nodes that it shares, without one to its first two bands.
+    still = members.join(part, "node", "left").withColumn("part", F.coalesce("root", "node")).select("key", "band", "node", "n", "part")
+    open_keys = still.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    still = stored(still.join(open_keys, "key"), "open-buckets")
+    bit = bit_of(F.col("band"))
+    some = lambda cond: F.coalesce(F.bit_or(F.when(cond, bit)), F.lit(0))
+    masks = still.groupBy("node", "part").agg(some(F.col("n") <= HUGE).alias("usual"), some(F.col("n") > HUGE).alias("huge"))
+    masks = stored(masks.join(reps.select("node", "sig", "need"), "node"), "open-nodes")
+    one = still.where(F.col("n") <= HUGE).select("key", "node", "n", bit.alias("bits")).join(masks, "node")
+    grown = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.struct(bit_of(j).alias("bit"), key(j).alias("next")))
+    huge = masks.where("huge > 0").withColumn("g", F.filter(grown, lambda g: g["bit"].bitwiseAND(F.col("huge")) != 0))
+    two = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: x["bit"] < y["bit"]), lambda y: F.struct((x["bit"] + y["bit"]).alias("bits"), F.xxhash64(x["next"], y["next"]).alias("key")))))
+    two = huge.select("node", "part", "sig", "need", "usual", "huge", F.explode(two).alias("t")).select("node", "part", "sig", "need", "usual", "huge", "t.bits", "t.key")
+    sized = two.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "n")
+    two = two.join(sized, "key")
+    rest = in_join(one.where(F.col("n") <= LARGE)).union(in_blocks(one.where(F.col("n") > LARGE))).union(in_blocks(two))
+    rest = rest.join(tried, ["a", "b"], "left_anti")
+    roots = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked(rest, texts, idf, threshold)))
 
     ids = reps.select("node", "doc_id").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "doc_id")
     named = ids.groupBy("root").agg(F.min("doc_id").alias("class_id"))
