@@ -7,7 +7,8 @@ frequency, weights of shingles that few documents have are alike at any size of
 documents share weigh little. Weights are rounded to a grid of steps of 1/16 in the logarithm, for sampling and
 verification alike.
 
-Exact copies share one node (the text's digest). 64 consistent weighted samples a node make 16 bands of 4. In each
+Exact copies share one node (the text's digest). 64 consistent weighted samples and 64 plain ones (MinHash, every shingle
+alike) a node make 32 bands of 4: a link by either similarity has candidates of its own. In each
 bucket every node is paired with the first, and then the nodes not yet connected with it with a second. Pairs that agree in enough samples (least_agreement) are verified on whole
 texts: weighted Jaccard similarity of 0.8 or more, or that of the plain sets, since copies in a very large group share only
 shingles of low weight. Then the nodes of one bucket that are still in different components are all held against each
@@ -34,6 +35,7 @@ from pyspark.sql import types as T
 from docloom.llm.common import double, small_batches, stored, table, text_map
 
 SHINGLE, SAMPLES, ROWS, BITS = 5, 64, 4, 18
+BANDS = 2 * SAMPLES // ROWS
 BUCKETS = 1 << BITS
 GRID, LEVELS, CELLS = 16, 80, 1 << 16
 LARGE, HUGE, BLOCK = 16, 4096, 256
@@ -139,6 +141,25 @@ class Sampler:
         return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+class Plain:
+    """MinHash: in each sample the shingle with the least a_j * (hash ^ x_j) wins, whatever its weight."""
+
+    def __init__(self, seed: int = 21):
+        r = np.random.default_rng(seed)
+        self.a = r.integers(0, 1 << 63, (SAMPLES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.x = r.integers(0, 1 << 63, (SAMPLES, 1), np.uint64)
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        """SAMPLES 32-bit hashes of the shingles that are sampled."""
+        least = np.full(SAMPLES, np.iinfo(np.uint64).max)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(s), 512):
+                h = (s[at : at + 512] ^ self.x) * self.a
+                least = np.minimum(least, h.min(1))
+            mixed = least * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """(number of documents with words, number with a shingle in each of BUCKETS buckets) over all rows of _text."""
 
@@ -172,19 +193,24 @@ def least_agreement(w: np.ndarray, threshold: float) -> int:
     k = min(len(w), int(np.ceil(len(w) * (1 - threshold) / (1 + threshold))))
     heavy = float(np.partition(w, len(w) - k)[len(w) - k :].sum())
     p = min(threshold, max(0.0, (float(w.sum()) - heavy) / (float(w.sum()) + heavy)))
+    return agreement_at(p)
+
+
+def agreement_at(p: float) -> int:
+    """In how many samples, at least, two texts of this similarity agree: 3.5 standard deviations below the mean."""
     return max(1, int(np.floor(SAMPLES * p - 3.5 * np.sqrt(SAMPLES * p * (1 - p)))))
 
 
 def _sampled(idf: np.ndarray, threshold: float):
     def make():
-        sampler, hashes = Sampler(), Hashes()
+        sampler, plain, hashes = Sampler(), Plain(), Hashes()
 
         def columns(texts: list[str]) -> list[list]:
             out, need, mean = [], [], []
             for t in texts:
                 s, n = shingles(t, hashes)
                 level = levels(s, n, idf)
-                out.append(sampler(s, level) if len(s) else [])
+                out.append(np.append(sampler(s, level), plain(s)) if len(s) else [])
                 w = np.exp(level / GRID)
                 need.append(least_agreement(w, threshold) if len(s) else 0)
                 mean.append(float(w.mean()) if len(s) else 0.0)
@@ -217,67 +243,75 @@ def _verified(idf: np.ndarray, threshold: float):
     return run
 
 
-def agreement(a: str, b: str) -> Column:
-    """In how many samples two nodes agree."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z))
+def agreement(a: str, b: str, first: int = 0) -> Column:
+    """In how many of SAMPLES samples from `first` on two nodes agree."""
+    return F.size(F.filter(F.zip_with(F.slice(a, first + 1, SAMPLES), F.slice(b, first + 1, SAMPLES), lambda x, y: x == y), lambda z: z))
+
+
+def worth_reading(threshold: float) -> Column:
+    """Whether nodes a and b agree in enough weighted or enough plain samples."""
+    return (agreement("sig_a", "sig_b") >= F.least("need_a", "need_b")) | (agreement("sig_a", "sig_b", SAMPLES) >= agreement_at(threshold))
 
 
 def bit_of(band: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1), band)
+    return F.call_function("shiftleft", F.lit(1).cast("long"), band)
 
 
 def shared_bands(a: str, b: str) -> Column:
     """The bands that two nodes share, as bits."""
-    each = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // ROWS - 1)), lambda j: F.when(F.slice(a, j * ROWS + 1, ROWS) == F.slice(b, j * ROWS + 1, ROWS), bit_of(j)).otherwise(0))
-    return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+    each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.when(F.slice(a, j * ROWS + 1, ROWS) == F.slice(b, j * ROWS + 1, ROWS), bit_of(j)).otherwise(0))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def agreeing(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that agree in enough samples to be worth their texts."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("need").alias(f"need_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(agreement("sig_a", "sig_b") >= F.least("need_a", "need_b")).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(worth_reading(threshold)).select("a", "b")
 
 
-def in_join(rows: DataFrame) -> DataFrame:
+def in_join(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of nodes of one key and different parts that agree in enough samples, in small buckets; a pair comes in its first band alone."""
     left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "sig", "need", "usual", "bits")]) for x in "ab")
     first = shared_bands("sig_a", "sig_b").bitwiseAND(F.col("usual_a")).bitwiseAND(F.col("bits_a") - 1) == 0
-    near = (F.col("part_a") < F.col("part_b")) & (agreement("sig_a", "sig_b") >= F.least("need_a", "need_b")) & first
+    near = (F.col("part_a") < F.col("part_b")) & worth_reading(threshold) & first
     return left.join(right, (left["key"] == right["key"]) & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     """As in_join, in larger buckets (of n nodes) and pairs of bands: a bucket is dealt into blocks of some BLOCK nodes, and two blocks meet in one task."""
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "part", "sig", "need", "usual", "huge", "bits")
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(_met, "a binary, b binary")
-
-
-def _met(t: pa.Table) -> pa.Table:
-    sig = np.stack(t.column("sig").to_numpy(zero_copy_only=False)).astype(np.int32)
-    need, usual, huge, bits, block = (t.column(c).to_numpy() for c in ("need", "usual", "huge", "bits", "block"))
-    node, parts = t.column("node").to_pylist(), {}
-    part = np.array([parts.setdefault(p, len(parts)) for p in t.column("part").to_pylist()])
-    low, high = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    found = []
-    for at in range(0, len(left), 64):
-        i = left[at : at + 64]
-        agree = (sig[i][:, None, :] == sig[right][None, :, :]).sum(2)
-        near = (agree >= np.minimum(need[i][:, None], need[right][None, :])) & (part[i][:, None] != part[right][None, :])
-        x, y = np.nonzero(near)
-        x, y = i[x], right[y]
-        if low == high:
-            x, y = x[x < y], y[x < y]
-        shared = ((sig[x] == sig[y]).reshape(-1, SAMPLES // ROWS, ROWS).all(2) * (1 << np.arange(SAMPLES // ROWS))).sum(1)
-        own = bits[x]
-        single = own & (own - 1) == 0
-        top = np.where(single, own, own ^ (own & -own))
-        mine = np.where(single, shared & usual[x] & (own - 1) == 0, (shared & usual[x] == 0) & (shared & huge[x] & (2 * top - 1) == own))
-        found += [(min(node[p], node[q]), max(node[p], node[q])) for p, q in zip(x[mine], y[mine], strict=True)]
-    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(_met(agreement_at(threshold)), "a binary, b binary")
+
+
+def _met(plain: int):
+    def run(t: pa.Table) -> pa.Table:
+        sig = np.stack(t.column("sig").to_numpy(zero_copy_only=False)).astype(np.int32)
+        need, usual, huge, bits, block = (t.column(c).to_numpy() for c in ("need", "usual", "huge", "bits", "block"))
+        node, parts = t.column("node").to_pylist(), {}
+        part = np.array([parts.setdefault(p, len(parts)) for p in t.column("part").to_pylist()])
+        low, high = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for at in range(0, len(left), 64):
+            i = left[at : at + 64]
+            same = sig[i][:, None, :] == sig[right][None, :, :]
+            near = ((same[:, :, :SAMPLES].sum(2) >= np.minimum(need[i][:, None], need[right][None, :])) | (same[:, :, SAMPLES:].sum(2) >= plain)) & (part[i][:, None] != part[right][None, :])
+            x, y = np.nonzero(near)
+            x, y = i[x], right[y]
+            if low == high:
+                x, y = x[x < y], y[x < y]
+            shared = ((sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(2) * (1 << np.arange(BANDS))).sum(1)
+            own = bits[x]
+            single = own & (own - 1) == 0
+            top = np.where(single, own, own ^ (own & -own))
+            mine = np.where(single, shared & usual[x] & (own - 1) == 0, (shared & usual[x] == 0) & (shared & huge[x] & (2 * top - 1) == own))
+            found += [(min(node[p], node[q]), max(node[p], node[q])) for p, q in zip(x[mine], y[mine], strict=True)]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return run
 
 
 def linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -316,9 +350,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     every = stored(text_map(rows.withColumn("node", node), _sampled(idf, threshold), [T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("need", T.IntegerType()), double("mean")]), "nodes")
     reps = stored(every.where(F.size("sig") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("need").alias("need"), F.first("mean").alias("mean")), "representatives")
 
-    bands = SAMPLES // ROWS
     key = lambda j: F.xxhash64(j, F.slice("sig", j * ROWS + 1, ROWS))
-    keys = reps.select("node", "mean", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("band", "key"))
+    keys = reps.select("node", "mean", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("band", "key"))
     firsts = keys.groupBy("key").agg(F.min(F.struct("mean", "node")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n", F.col("f.node").alias("first"))
     members = stored(keys.join(firsts, "key"), "buckets")
     wanted = members.select("node").distinct().join(reps.select("node", "doc_id"), "node")
@@ -328,14 +361,14 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     # The first node of a bucket is the one of the least mean weight: a copy that was edited least has the fewest rare, heavy
     # shingles, and most others are near it. A second round does the same for the parts that the first has not reached.
     tried = stored(members.where("first != node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "star")
-    part = components(linked(agreeing(tried, reps), texts, idf, threshold))
+    part = components(linked(agreeing(tried, reps, threshold), texts, idf, threshold))
     left = members.select("key", "node", "mean", "first").join(part, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     main = left.where("node = first").select("key", F.col("part").alias("main"))
     left = stored(left.join(main, "key").select("key", "node", "mean", "part", "main"), "bucket-parts")
     second = left.where("part != main").groupBy("key").agg(F.min(F.struct("mean", "node", "part")).alias("s"))
     again = left.join(second, "key").where(F.col("part") != F.col("s.part")).select(F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     again = stored(again, "star")
-    part = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked(agreeing(again, reps), texts, idf, threshold)))
+    part = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked(agreeing(again, reps, threshold), texts, idf, threshold)))
     tried = tried.union(again)
 
     # What is still apart in one bucket: all pairs of nodes of different parts, each pair once. A pair belongs to the first
@@ -344,17 +377,17 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     open_keys = still.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     still = stored(still.join(open_keys, "key"), "open-buckets")
     bit = bit_of(F.col("band"))
-    some = lambda cond: F.coalesce(F.bit_or(F.when(cond, bit)), F.lit(0))
+    some = lambda cond: F.coalesce(F.bit_or(F.when(cond, bit)), F.lit(0).cast("long"))
     masks = still.groupBy("node", "part").agg(some(F.col("n") <= HUGE).alias("usual"), some(F.col("n") > HUGE).alias("huge"))
     masks = stored(masks.join(reps.select("node", "sig", "need"), "node"), "open-nodes")
     one = still.where(F.col("n") <= HUGE).select("key", "node", "n", bit.alias("bits")).join(masks, "node")
-    grown = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.struct(bit_of(j).alias("bit"), key(j).alias("next")))
+    grown = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(bit_of(j).alias("bit"), key(j).alias("next")))
     huge = masks.where("huge > 0").withColumn("g", F.filter(grown, lambda g: g["bit"].bitwiseAND(F.col("huge")) != 0))
     two = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: x["bit"] < y["bit"]), lambda y: F.struct((x["bit"] + y["bit"]).alias("bits"), F.xxhash64(x["next"], y["next"]).alias("key")))))
     two = huge.select("node", "part", "sig", "need", "usual", "huge", F.explode(two).alias("t")).select("node", "part", "sig", "need", "usual", "huge", "t.bits", "t.key")
     sized = two.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "n")
     two = two.join(sized, "key")
-    rest = in_join(one.where(F.col("n") <= LARGE)).union(in_blocks(one.where(F.col("n") > LARGE))).union(in_blocks(two))
+    rest = in_join(one.where(F.col("n") <= LARGE), threshold).union(in_blocks(one.where(F.col("n") > LARGE), threshold)).union(in_blocks(two, threshold))
     rest = rest.join(tried, ["a", "b"], "left_anti")
     roots = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked(rest, texts, idf, threshold)))
 

@@ -318,3 +318,28 @@ def test_every_way_through_a_bucket(spark, monkeypatch, large, huge, block):
     want = brute(texts)
     missed = [(a, b) for a, b in itertools.combinations(texts, 2) if want[a] == want[b] and got[a] != got[b]]
     assert not missed
+
+
+def hot(copies: int = 60, others: int = 640) -> dict:
+    """A text that a third of all rows repeat, edited copies at a plain similarity of 0.806 of it, and other texts."""
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(50_000)]
+    base = r.sample(words, 284)
+    texts = {i: " ".join(base) for i in range(350)}
+    for _ in range(copies):
+        edited = list(base)
+        for k in r.sample(range(6, 280, 10), 6):
+            edited[k] = r.choice(words)
+        texts[len(texts)] = " ".join(edited)
+    for _ in range(others):
+        texts[len(texts)] = " ".join(r.choices(words, k=120))
+    return texts
+
+
+def test_copies_of_a_text_that_a_third_of_the_rows_hold(spark):
+    texts = hot()
+    want = brute({i: t for i, t in texts.items() if 349 <= i < 410})
+    assert set(want.values()) == {349}
+    got = {x.doc_id: x.class_id for x in near_dup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [i for i in want if got[i] != 0] == []
+    assert all(got[i] == i for i in range(410, len(texts)))
