@@ -13,8 +13,8 @@ bucket every node is paired with the first, and then the nodes not yet connected
 texts: weighted Jaccard similarity of 0.8 or more, or that of the plain sets, since copies in a very large group share only
 shingles of low weight. Then the nodes of one bucket that are still in different components are all held against each
 other, by their samples inside the join and by their texts, so no pair that shares a bucket is left out unless it is
-already connected. In a bucket of over HUGE nodes such a pair must share a second band (0.997 of pairs at similarity
-0.8 do): passages shared by many documents then do not pair all of them.
+already connected, whatever the size of the bucket: the nodes outside a bucket's largest component meet all of its
+nodes, block by block.
 
 Nothing is gathered by group: buckets are joined and aggregated, components come from large-star and small-star steps.
 
@@ -248,9 +248,9 @@ def agreement(a: str, b: str, first: int = 0) -> Column:
     return F.size(F.filter(F.zip_with(F.slice(a, first + 1, SAMPLES), F.slice(b, first + 1, SAMPLES), lambda x, y: x == y), lambda z: z))
 
 
-def worth_reading(threshold: float) -> Column:
-    """Whether nodes a and b agree in enough weighted or enough plain samples."""
-    return (agreement("sig_a", "sig_b") >= F.least("need_a", "need_b")) | (agreement("sig_a", "sig_b", SAMPLES) >= agreement_at(threshold))
+def worth_reading(least: int | Column, threshold: float) -> Column:
+    """Whether nodes a and b agree in enough (least) weighted or enough plain samples."""
+    return (agreement("sig_a", "sig_b") >= least) | (agreement("sig_a", "sig_b", SAMPLES) >= agreement_at(threshold))
 
 
 def bit_of(band: Column) -> Column:
@@ -266,48 +266,59 @@ def shared_bands(a: str, b: str) -> Column:
 def agreeing(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that agree in enough samples to be worth their texts."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("need").alias(f"need_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(worth_reading(threshold)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(worth_reading(F.least("need_a", "need_b"), threshold)).select("a", "b")
 
 
 def in_join(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of nodes of one key and different parts that agree in enough samples, in small buckets; a pair comes in its first band alone."""
-    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "sig", "need", "usual", "bits")]) for x in "ab")
-    first = shared_bands("sig_a", "sig_b").bitwiseAND(F.col("usual_a")).bitwiseAND(F.col("bits_a") - 1) == 0
-    near = (F.col("part_a") < F.col("part_b")) & worth_reading(threshold) & first
+    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "sig", "open", "bits")]) for x in "ab")
+    first = shared_bands("sig_a", "sig_b").bitwiseAND(F.col("open_a")).bitwiseAND(F.col("bits_a") - 1) == 0
+    near = (F.col("part_a") < F.col("part_b")) & worth_reading(agreement_at(threshold), threshold) & first
     return left.join(right, (left["key"] == right["key"]) & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """As in_join, in larger buckets (of n nodes) and pairs of bands: a bucket is dealt into blocks of some BLOCK nodes, and two blocks meet in one task."""
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "part", "sig", "need", "usual", "huge", "bits")
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(_met(agreement_at(threshold)), "a binary, b binary")
+    """As in_join, in larger buckets (of n nodes, `strays` of them outside the largest part).
 
+    Strays and all nodes are dealt into blocks of some BLOCK, or in a bucket of over HUGE nodes eight times that, so that
+    nodes are copied less often; each block of strays meets each block of nodes in one task.
+    """
+    size = F.when(F.col("n") > HUGE, 8 * BLOCK).otherwise(BLOCK)
+    blocks = lambda c: F.ceil(F.col(c) / size).cast("int")
+    dealt = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    task = lambda x, y, left: F.struct(x.alias("x"), y.alias("y"), F.lit(left).alias("left"))
+    each = lambda c, f: F.transform(F.sequence(F.lit(0), blocks(c) - 1), f)
+    right = each("strays", lambda x: task(x, dealt("n"), False))
+    left = each("n", lambda y: task(dealt("strays"), y, True))
+    tasks = F.explode(F.when(F.col("stray"), F.concat(left, right)).otherwise(right))
+    met = rows.withColumn("t", tasks).select("key", "t.x", "t.y", "t.left", "node", "part", "stray", "sig", "open", "bits")
+    return met.groupBy("key", "x", "y").applyInArrow(_met(agreement_at(threshold)), "a binary, b binary")
+
+
+def _met(least: int):
+    def agreeing_in(same: np.ndarray) -> np.ndarray:
+        """How many of SAMPLES flags are set, eight at a time."""
+        return (same.view(np.uint64).sum(2) * np.uint64(0x0101010101010101)) >> np.uint64(56)
 
-def _met(plain: int):
     def run(t: pa.Table) -> pa.Table:
         sig = np.stack(t.column("sig").to_numpy(zero_copy_only=False)).astype(np.int32)
-        need, usual, huge, bits, block = (t.column(c).to_numpy() for c in ("need", "usual", "huge", "bits", "block"))
+        side, stray, open_, bits = (t.column(c).to_numpy() for c in ("left", "stray", "open", "bits"))
         node, parts = t.column("node").to_pylist(), {}
+        order = {v: k for k, v in enumerate(sorted(set(node)))}
+        rank = np.array([order[v] for v in node])
         part = np.array([parts.setdefault(p, len(parts)) for p in t.column("part").to_pylist()])
-        low, high = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
         found = []
         for at in range(0, len(left), 64):
             i = left[at : at + 64]
-            same = sig[i][:, None, :] == sig[right][None, :, :]
-            near = ((same[:, :, :SAMPLES].sum(2) >= np.minimum(need[i][:, None], need[right][None, :])) | (same[:, :, SAMPLES:].sum(2) >= plain)) & (part[i][:, None] != part[right][None, :])
+            same = [sig[i][:, None, k : k + SAMPLES] == sig[right][None, :, k : k + SAMPLES] for k in (0, SAMPLES)]
+            near = (agreeing_in(same[0]) >= least) | (agreeing_in(same[1]) >= least)
+            # two strays meet twice
+            near &= (part[i][:, None] != part[right][None, :]) & (~stray[right][None, :] | (rank[i][:, None] < rank[right][None, :]))
             x, y = np.nonzero(near)
             x, y = i[x], right[y]
-            if low == high:
-                x, y = x[x < y], y[x < y]
             shared = ((sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(2) * (1 << np.arange(BANDS))).sum(1)
-            own = bits[x]
-            single = own & (own - 1) == 0
-            top = np.where(single, own, own ^ (own & -own))
-            mine = np.where(single, shared & usual[x] & (own - 1) == 0, (shared & usual[x] == 0) & (shared & huge[x] & (2 * top - 1) == own))
+            mine = shared & open_[x] & (bits[x] - 1) == 0
             found += [(min(node[p], node[q]), max(node[p], node[q])) for p, q in zip(x[mine], y[mine], strict=True)]
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
@@ -371,23 +382,16 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     part = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked(agreeing(again, reps, threshold), texts, idf, threshold)))
     tried = tried.union(again)
 
-    # What is still apart in one bucket: all pairs of nodes of different parts, each pair once. A pair belongs to the first
-    # bucket of at most HUGE nodes that it shares, without one to its first two bands.
+    # What is still apart in one bucket: all pairs of nodes of different parts, each pair once, in the first bucket that it shares.
     still = members.join(part, "node", "left").withColumn("part", F.coalesce("root", "node")).select("key", "band", "node", "n", "part")
-    open_keys = still.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    still = stored(still.join(open_keys, "key"), "open-buckets")
+    sizes = still.groupBy("key", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "part")).alias("main"), F.sum("k").alias("all"))
+    sizes = sizes.where(F.col("all") > F.col("main.k")).select("key", F.col("main.part").alias("main"), (F.col("all") - F.col("main.k")).alias("strays"))
+    still = stored(still.join(sizes, "key").withColumn("stray", F.col("part") != F.col("main")), "open-buckets")
     bit = bit_of(F.col("band"))
-    some = lambda cond: F.coalesce(F.bit_or(F.when(cond, bit)), F.lit(0).cast("long"))
-    masks = still.groupBy("node", "part").agg(some(F.col("n") <= HUGE).alias("usual"), some(F.col("n") > HUGE).alias("huge"))
-    masks = stored(masks.join(reps.select("node", "sig", "need"), "node"), "open-nodes")
-    one = still.where(F.col("n") <= HUGE).select("key", "node", "n", bit.alias("bits")).join(masks, "node")
-    grown = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(bit_of(j).alias("bit"), key(j).alias("next")))
-    huge = masks.where("huge > 0").withColumn("g", F.filter(grown, lambda g: g["bit"].bitwiseAND(F.col("huge")) != 0))
-    two = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: x["bit"] < y["bit"]), lambda y: F.struct((x["bit"] + y["bit"]).alias("bits"), F.xxhash64(x["next"], y["next"]).alias("key")))))
-    two = huge.select("node", "part", "sig", "need", "usual", "huge", F.explode(two).alias("t")).select("node", "part", "sig", "need", "usual", "huge", "t.bits", "t.key")
-    sized = two.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "n")
-    two = two.join(sized, "key")
-    rest = in_join(one.where(F.col("n") <= LARGE), threshold).union(in_blocks(one.where(F.col("n") > LARGE), threshold)).union(in_blocks(two, threshold))
+    masks = still.groupBy("node", "part").agg(F.bit_or(bit).alias("open"))
+    masks = stored(masks.join(reps.select("node", "sig"), "node"), "open-nodes")
+    one = still.select("key", "node", "n", "strays", "stray", bit.alias("bits")).join(masks, "node")
+    rest = in_join(one.where(F.col("n") <= LARGE), threshold).union(in_blocks(one.where(F.col("n") > LARGE), threshold))
     rest = rest.join(tried, ["a", "b"], "left_anti")
     roots = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked(rest, texts, idf, threshold)))
 

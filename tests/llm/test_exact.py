@@ -343,3 +343,21 @@ def test_copies_of_a_text_that_a_third_of_the_rows_hold(spark):
     got = {x.doc_id: x.class_id for x in near_dup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert [i for i in want if got[i] != 0] == []
     assert all(got[i] == i for i in range(410, len(texts)))
+
+
+def test_pairs_of_a_huge_bucket_need_one_band_only(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE", 1)
+    monkeypatch.setattr(near_dup, "HUGE", 1)
+    # the four share the first band alone; c and d, neither of which is the first node of a round, agree in 49 of 64 samples
+    texts = {1: "a" * 9, 2: "b" * 9, 3: " ".join(f"w{i}" for i in range(60)), 4: " ".join(f"w{i}" for i in range(61))}
+    size = 2 * near_dup.SAMPLES
+    sigs = {t: [0] * 4 + [1000 * i + k for k in range(4, size)] for i, t in texts.items()}
+    sigs[texts[4]] = [v if k < 4 else v - 1000 * (k % 4 > 0) for k, v in enumerate(sigs[texts[4]])]
+    means = {t: float(i) for i, t in texts.items()}
+
+    def sampled(idf, threshold):
+        return lambda: lambda some: [[sigs[t] for t in some], [40] * len(some), [means[t] for t in some]]
+
+    monkeypatch.setattr(near_dup, "_sampled", sampled)
+    got = {x.doc_id: x.class_id for x in near_dup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
