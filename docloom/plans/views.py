@@ -11,7 +11,7 @@ EIS = """SELECT doc_id, concat(
   'SUMMARY', chr(10), substring(text, 1, 700), chr(10),
   CASE WHEN doc_id % 3 = 0 THEN concat('PURPOSE AND NEED', chr(10), 'The need is clear.', chr(10)) ELSE '' END,
   'ALTERNATIVES', chr(10), 'Alternative A keeps the road. Alternative B-1 moves it. The No  Action choice and the Preferred Alternative follow.', chr(10), substring(text, 701, 900), chr(10),
-  'CHAPTER 3. AFFECTED ENVIRONMENT', chr(10), substring(text, 1601, 3000), chr(10),
+  'CHAPTER 3. AFFECTED ENVIRONMENT', chr(10), substring(text, 1601), chr(10),
   CASE WHEN doc_id % 2 = 0 THEN concat('ENVIRONMENTAL CONSEQUENCES', chr(10), 'Noise and dust.', chr(10)) ELSE '' END,
   'PUBLIC COMMENTS', chr(10), 'COMMENT 1: We oppose the road because of noise. It should not be built here.', chr(10), 'Response:', chr(10), 'Noted. The agency agrees.', chr(10),
   'COMMENT 2: The county strongly supports Alternative A. We urge action now.', chr(10)) AS text FROM documents"""

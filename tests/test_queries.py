@@ -22,3 +22,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_long_texts_are_whole(spark, tmp_path):
+    from docloom.plans.views import eis
+
+    text = "".join(f"w{i} " for i in range(8000)) + "the very end"
+    spark.createDataFrame([(1, text)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = eis(spark, str(tmp_path)).first().text
+    assert text[:700] in got and text[700:1600] in got and text[1600:] in got
