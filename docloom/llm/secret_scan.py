@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all as Spark expressions.
 
-A candidate is a private-key block, a run of 16 or more key characters with a digit, or a value of 8 or more
+A candidate is a private-key block, a run of 16 or more key characters with a digit (after any "name=" too), or a value of 8 or more
 characters assigned to a name such as password or token. Its length, character transitions, dictionary coverage, the
 path (source) of its document and the words next to it go to a forest that is trained, on the driver, on a labelled
 table of findings (a bounded, generated one by default) whose features come from the same expressions; the trained
@@ -24,7 +24,7 @@ from docloom.llm.common import packed, table
 
 NAMES = "passwords?|passwd|pwd|passphrase|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth[_-]?keys?|credentials?"
 BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
-RUN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
+RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
 ASSIGN = rf"(?i:\b(?:[a-z0-9]{{1,20}}[_-]){{0,3}}(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
 VALUE = r"[^\s\"',;]{8,}"
 CANDIDATE = f"{BLOCK}|{ASSIGN}{VALUE}|{RUN}"
