@@ -1,7 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
 All of it is Spark expressions. The words of a text are runs of letters, digits and non-ASCII characters after A-Z are
-lower-cased. A block is a line, or for long lines each window of 128 words at a stride of 64. A block matches a
+lower-cased. A block is a line, or for long lines each window of 128 words at a stride of 64; and, since notices are
+wrapped, each such window of the whole text across its line breaks. A block matches a
 template if it has at least `threshold` of the template's distinct words. The join orders the templates' words by
 their document frequency over all texts, rarest first. Then, for each block:
   prefix filter: it has one of a template's first |T| - need + 1 words (need = ceil(threshold * |T|)), found by an
@@ -97,17 +98,17 @@ def phrase_places(words: Column, lowered: Column) -> Column:
     return F.when(some & (F.size(words) > 0), F.filter(F.transform(F.sequence(F.lit(0), F.size(words) - 1), place), lambda x: x["label"].isNotNull())).otherwise(none)
 
 
-def windows(line: Column) -> Column:
-    """The blocks of one line: distinct words of each window."""
-    words = words_of(line)
+def windows(words: Column) -> Column:
+    """The blocks of the words of one line or text: each window."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(words) - WINDOW + STRIDE - 1) / STRIDE).cast("int")))
     return F.transform(starts, lambda k: F.slice(words, k * STRIDE + 1, WINDOW))
 
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(_row, n_words, places, matches) for every row of docs.
+    """(_row, n_words, places, matches, wrapped) for every row of docs.
 
-    places: (at, label) of each phrase; matches: (label, containment) of each template that a block meets.
+    places: (at, label) of each phrase; matches: (label, containment) of each template that a block of a line meets;
+    wrapped: those that a block across line breaks meets.
     """
     sets = template_words(templates)
     vocabulary = sorted({w for _, ws in sets for w in ws})
@@ -125,14 +126,17 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     none = F.array().cast("array<struct<label:string,containment:double>>")
     rows = rows.withColumn("n_words", F.size("_words").cast("long")).withColumn("places", phrase_places(F.col("_words"), F.col("_lowered")))
     if not index:
-        return rows.select("_row", "n_words", "places", none.alias("matches"))
+        return rows.select("_row", "n_words", "places", none.alias("matches"), none.alias("wrapped"))
     prefix = [w for w in order if w in index]
     posting = F.create_map(*[x for w in prefix for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(p).alias("p")) for k, p in index[w]]))])
     shapes = F.array(*[F.struct(F.lit(sets[k][0]).alias("label"), F.lit(ordered[k]).alias("words"), F.lit(len(ordered[k])).alias("size"), F.lit(need[k]).alias("need")) for k in range(len(sets))])
     # the templates' words in a block, in the global order: all that an overlap can count
     known = lambda block: F.array_intersect(F.lit(order), block)
-    blocks = F.flatten(F.transform(F.split("_lowered", "\n", -1), lambda line: F.transform(windows(line), known)))
-    rows = rows.withColumn("_blocks", F.when(F.arrays_overlap("_words", F.lit(prefix)), F.filter(blocks, lambda b: F.arrays_overlap(b, F.lit(prefix)))).otherwise(F.array().cast("array<array<string>>")))
+    blocks = F.flatten(F.transform(F.split("_lowered", "\n", -1), lambda line: F.transform(windows(words_of(line)), known)))
+    across = F.transform(windows(F.col("_words")), known)
+    some = F.arrays_overlap("_words", F.lit(prefix))
+    with_prefix = lambda cond, c: F.when(cond, F.filter(c, lambda b: F.arrays_overlap(b, F.lit(prefix)))).otherwise(F.array().cast("array<array<string>>"))
+    rows = rows.withColumn("_blocks", with_prefix(some, blocks)).withColumn("_across", with_prefix(some & F.contains("_lowered", F.lit("\n")), across))
 
     def matched(block: Column) -> Column:
         def candidates(w: Column) -> Column:
@@ -149,8 +153,8 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
         counted = F.transform(pairs, lambda t: F.struct(F.get(shapes, t)["label"].alias("label"), F.get(shapes, t)["need"].alias("need"), F.get(shapes, t)["size"].alias("size"), F.size(F.array_intersect(F.get(shapes, t)["words"], block)).alias("n")))
         return F.transform(F.filter(counted, lambda x: x["n"] >= x["need"]), lambda x: F.struct(x["label"].alias("label"), (x["n"] / x["size"]).alias("containment")))
 
-    matches = F.when(F.size("_blocks") > 0, F.flatten(F.transform("_blocks", matched))).otherwise(none)
-    return rows.select("_row", "n_words", "places", matches.alias("matches"))
+    matches = lambda c: F.when(F.size(c) > 0, F.flatten(F.transform(c, matched))).otherwise(none)
+    return rows.select("_row", "n_words", "places", matches("_blocks").alias("matches"), matches("_across").alias("wrapped"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -163,13 +167,13 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.array_min("places.at").alias("first_word"),
         F.array_max("places.at").alias("last_word"),
         F.array_join(labels(F.col("places.label")), ",").alias("base_labels"),
-        F.array_join(labels(F.concat("places.label", "matches.label")), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0))).alias("score"),
+        F.array_join(labels(F.concat("places.label", "matches.label", "wrapped.label")), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.concat("matches.containment", "wrapped.containment")), F.lit(0.0))).alias("score"),
     )
 
 
 def sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> str:
-    """The query's rows in DuckDB SQL: every block against every template, without filters."""
+    """The query's rows in DuckDB SQL: every block of a line against every template, without filters; blocks across line breaks are not in it."""
     sets = ", ".join("('{}', [{}], {})".format(label, ", ".join(f"'{w}'" for w in words), math.ceil(threshold * len(words) - 1e-9)) for label, words in template_words(templates))
     phrase = lambda parts: " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(parts))
     case = "CASE " + " ".join(f"WHEN {phrase(p.split())} THEN '{name}'" for p, name in PHRASES) + " END"

@@ -361,3 +361,20 @@ def test_pairs_of_a_huge_bucket_need_one_band_only(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "_sampled", sampled)
     got = {x.doc_id: x.class_id for x in near_dup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    texts = [t for _, t in license_scan.TEMPLATES]
+    wrapped = ["\n".join(f"# {line}" for line in textwrap.wrap(t, 40)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(wrapped)) + [(99, "nothing\nto\nfind")], "doc_id int, text string")
+    found = {x.id: {m.label for m in x.wrapped} for x in license_scan.scan(docs).select(F.col("_row.doc_id").alias("id"), "wrapped").collect()}
+    assert all(label in found[i] for i, (label, _) in enumerate(license_scan.TEMPLATES) if "\n" in wrapped[i]) and found[99] == set()
+
+
+def test_wrapped_licenses_in_the_query(spark, tmp_path):
+    mit = license_scan.TEMPLATES[1][1].split()
+    spark.createDataFrame([(1, " ".join(mit[:13]) + "\n" + " ".join(mit[13:]))], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = license_scan.query(spark, str(tmp_path)).first()
+    assert (row.labels, row.score) == ("mit", 1.0)
