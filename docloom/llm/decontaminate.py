@@ -10,8 +10,8 @@ Each hit is verified: the shares of the three-word windows of its question (all
 
 The index is made for shards of at most about SHARD items, so what a task holds is bounded; documents stream past it.
 
-Defined results: items and documents without words match nothing; repeated documents are each reported; repeated items
-under one id count once, by their first text in order; null ids are kept as they are; an empty benchmark gives no leak.
+Defined results: items and documents without words match nothing; repeated documents are each reported; items of equal
+id and text count once, other texts under one id are items of their own; null ids are kept as they are; an empty benchmark gives no leak.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ class Index:
     """Items in order of length, so that items of a block have impacts alike."""
 
     def __init__(self, items: list[tuple[int, str]], documents: int, frequency: dict[str, int]):
-        rows = sorted(((len(w), i, w, t) for i, t in items if (w := words_of(t))), key=lambda x: x[:2])
+        rows = sorted(((len(w), i, w, t) for i, t in items if (w := words_of(t))), key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[3]))
         self.ids = [i for _, i, _, _ in rows]
         self.longest = max((n for n, *_ in rows), default=0)
         average = sum(n for n, *_ in rows) / max(len(rows), 1)
@@ -212,11 +212,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     spark = docs.sparkSession
     small_batches(spark)
     rows = packed(docs, text) if keep is None else docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
-    items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).groupBy(F.col(f"`{item_id}`").cast("long").alias("id")).agg(F.min(F.col(f"`{item_text}`")).alias("t"))
+    items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("t")).distinct()
     shards = max(1, math.ceil(items.count() / SHARD))
     kind = T.ArrayType(HIT)
     for k in range(shards):
-        some = [(r.id, r.t) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).collect()]  # about SHARD items
+        some = [(r.id, r.t) for r in items.where(F.pmod(F.xxhash64("id", "t"), F.lit(shards)) == k).collect()]  # about SHARD items
         vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in some for w in words_of(t)}))}
         index = spark.sparkContext.broadcast(Index(some, *document_frequencies(rows.select("_text"), vocabulary)) if vocabulary else None)
         columns = [c for c in rows.columns if c != "hits"]

@@ -378,3 +378,11 @@ def test_wrapped_licenses_in_the_query(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(mit[:13]) + "\n" + " ".join(mit[13:]))], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = license_scan.query(spark, str(tmp_path)).first()
     assert (row.labels, row.score) == ("mit", 1.0)
+
+
+def test_leaks_of_items_that_share_an_id(spark):
+    texts = [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}" for i in range(4)]
+    items = spark.createDataFrame(list(zip([5, 5, None, None], texts, strict=True)), "item_id long, text string")
+    out = decontaminate.leaks(spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)], "doc_id int, text string"), items)
+    got = {r.d: [h.item_id for h in r.hits] for r in out.select(F.col("_row.doc_id").alias("d"), "hits").collect()}
+    assert got == {0: [5], 1: [5], 2: [None], 3: [None]}
