@@ -55,20 +55,21 @@ def member(data: bytes, level: int = 1) -> bytes:
     return z.compress(data) + z.flush()
 
 
+VERSION, BLANK = re.compile(rb"WARC/1\.[01]\r\n"), re.compile(rb"\r\n\r\n")
+
+
 class Bad(ValueError):
     pass
 
 
 def parse_record(data: memoryview | bytes, at: int) -> tuple[dict, bytes, int]:
     """(headers in lower case, block, end) of the record that starts at `at`. Raises Bad where a check fails."""
-    top = bytes(data[at : at + 65536])
-    if not re.match(rb"WARC/1\.[01]\r\n", top):
+    if not VERSION.match(data, at):
         raise Bad("version line")
-    stop = top.find(b"\r\n\r\n")
-    if stop < 0:
+    if not (blank := BLANK.search(data, at)):
         raise Bad("headers do not end")
     headers = {}
-    for line in top[:stop].split(b"\r\n")[1:]:
+    for line in bytes(data[at : blank.start()]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon or not re.fullmatch(rb"[\x21-\x7e]+", name.strip()):
             raise Bad("header line")
@@ -77,7 +78,7 @@ def parse_record(data: memoryview | bytes, at: int) -> tuple[dict, bytes, int]:
         raise Bad("mandatory header")
     if not headers.get("content-length", "").isdigit():
         raise Bad("content length")
-    begin = at + stop + 4
+    begin = blank.end()
     end = begin + int(headers["content-length"])
     if bytes(data[end : end + 4]) != b"\r\n\r\n":
         raise Bad("record end")

@@ -386,3 +386,11 @@ def test_leaks_of_items_that_share_an_id(spark):
     out = decontaminate.leaks(spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)], "doc_id int, text string"), items)
     got = {r.d: [h.item_id for h in r.hits] for r in out.select(F.col("_row.doc_id").alias("d"), "hits").collect()}
     assert got == {0: [5], 1: [5], 2: [None], 3: [None]}
+
+
+def test_long_urls(spark, tmp_path):
+    url = "data:text/html," + "x" * 70_000
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(warc.assign(spark.createDataFrame([(1, url, "<p>a"), (2, "u", "<p>b")], "page_id long, url string, html string")), folder)
+    out = warc.read_archives(spark, folder).collect()
+    assert sorted((r.kind, r.page_id, r.target_uri) for r in out) == [("record", 1, url), ("record", 2, "u")]
