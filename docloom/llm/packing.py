@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import LETTERS, NUMBERS, PLAIN, long, small_batches, table
+from docloom.llm.common import LETTERS, NUMBERS, long, small_batches, table
 
+#: PLAIN texts that are PLAIN in lower case too: without capitals whose small letters lie beyond U+024F, or are two characters.
+KEPT_BY_LOWER = re.compile("[\\t\\n\\r\\x20-\\x7e" + "".join(f"\\u{i:04x}" for i in range(0xA1, 0x250) if len(low := chr(i).lower()) == 1 and ord(low) < 0x250) + "]*+")
 CAPACITY = 2048
 PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -36,7 +38,8 @@ class WordTokens:
     """Token ids of a text as little-endian unsigned 32-bit bytes, for a tokenizer that drops white space and encodes words alone.
 
     Texts of Latin letters, digits and punctuation are cut into words by the tokenizer's own pattern here and encoded
-    word by word through a cache; all other texts, and those that may hold special tokens, go to the tokenizer whole.
+    word by word through a cache; all other texts, those with a capital whose small letter lies outside, and those that
+    may hold special tokens, go to the tokenizer whole.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -49,7 +52,7 @@ class WordTokens:
         self.model.no_truncation()
         self.model.no_padding()
         letters, numbers = LETTERS, NUMBERS
-        self.plain = PLAIN
+        self.plain = KEPT_BY_LOWER
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
         self.cache: dict[str, bytes] = {}
         self.most = most
@@ -83,7 +86,7 @@ class WordTokens:
         return [b"".join(map(self.cache.__getitem__, ws)) for ws in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [self.fast and bool(self.plain.fullmatch(t)) and "İ" not in t and not any(s in t for s in self.special) for t in texts]
+        plain = [self.fast and bool(self.plain.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         words, whole = (iter(f([t for t, p in zip(texts, plain, strict=True) if p == kind])) for f, kind in ((self._by_word, True), (self._whole, False)))
         return [next(words if p else whole) for p in plain]
 

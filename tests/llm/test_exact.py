@@ -58,11 +58,50 @@ def test_word_tokens_are_the_librarys():
     assert w(texts) == w._whole(texts)
 
 
+def test_word_tokens_over_the_whole_fast_alphabet():
+    """100,000 strings over all letters, capitals and marks of the fast path, and a little beyond it."""
+    w = packing.word_tokens(tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(3)
+    inside = [chr(i) for i in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250))]
+    texts = [f"{c}WE{c}x {c}" for c in inside] + ["ƐWE", "Ⱥb ȾC", "İstanbul"]
+    texts += ["".join(r.choices(inside + [" "] * 60 + ["\u0307", "ß", "ẞ", "\u2019"], k=r.randint(1, 24))) for _ in range(100_000)]
+    for at in range(0, len(texts), 10_000):
+        some = texts[at : at + 10_000]
+        assert w(some) == w._whole(some)
+
+
+def test_pieces_hold_the_librarys_ids(spark):
+    """Every document of a table: its pieces' counts and digests against the library's ids, read off a plain loop."""
+    path, data = tokenizers.path("word_bpe_49k.json"), "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    got = packing.query(spark, data).toPandas()
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    ids = {r.doc_id: [*model.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
+    assert sorted(got.doc_id.unique()) == sorted(ids)
+    covered = {d: 0 for d in ids}
+    for p in got.sort_values(["doc_id", "start"]).itertuples():
+        own = ids[p.doc_id]
+        assert p.start == covered[p.doc_id] and p.doc_tokens == len(own)
+        assert p.ids_crc32 == zlib.crc32(array("I", own[p.start : p.start + p.length]).tobytes())
+        covered[p.doc_id] += p.length
+    assert all(covered[d] == len(x) for d, x in ids.items())
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.to_numpy() == np.append(0, s.length.cumsum()[:-1])).all()
+        total = s.length.sum()
+        assert total == 2048 or total < 2048 and total & (total - 1) == 0
+
+
 def test_packing_of_odd_rows(spark):
-    rows = [(1, None, "z"), (2, "", "z"), (2, "", "z"), (3, "hello there " * 900, None)]
+    rows = [(1, None, "z"), (2, "", "z"), (2, "", "z"), (3, "hello there " * 900, None), (4, "a b " * 150_000, None), (4, "a b " * 150_000, None)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, length string")
     out = packing.pack(docs, tokenizers.path("word_bpe_49k.json")).toPandas()
-    assert (out["offset"] >= 0).all() and len(out) >= 4
+    assert (out["offset"] >= 0).all() and (out["length"] <= 2048).all()
+    assert out["length"].sum() == 3 + 1801 + 2 * 300_001
     ones = out[out.doc_tokens == 1]
     assert len(ones) == 3 and (ones.ids_crc32 == zlib.crc32(b"\x01\0\0\0")).all()
     assert packing.pack(docs.limit(0), tokenizers.path("word_bpe_49k.json")).count() == 0
