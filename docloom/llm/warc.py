@@ -2,7 +2,10 @@
 
 Each record is its own gzip member. The reader checks version line, headers, lengths and block digest; where a check
 fails it looks for the next member (or, in plain archives, the next version line) from which a record passes, goes on
-there, and reports the bytes between as a gap.
+there, and reports the bytes between as a gap. A member of over MOST bytes, more than a cell of a Spark row holds, is a gap.
+
+Which record a row becomes is decided on digests alone. Payloads meet the decision by digest and id, so that the many
+rows of one payload are dealt out, and revisits never carry theirs.
 
 Defined results: a null payload is empty; records of equal payload revisit the smallest non-null id (a group without
 any id is all responses, and repeated rows of the smallest id are all responses); a null url is written empty; control
@@ -26,6 +29,7 @@ from docloom.llm.common import long, scratch, small_batches, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+MOST = (1 << 31) - 1
 SCHEMA = T.StructType([T.StructField("kind", T.StringType()), T.StructField("archive", T.StringType()), long("start"), long("end"), T.StructField("record_type", T.StringType()), long("page_id"), long("refers_to"), T.StructField("target_uri", T.StringType()), long("payload_bytes"), T.StructField("payload_digest", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("reason", T.StringType())])
 ARROW = pa.schema([("kind", pa.string()), ("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("reason", pa.string())])
 
@@ -38,16 +42,20 @@ def _urn(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
-    """One WARC/1.1 record, uncompressed. A revisit keeps the HTTP head, which states the payload's length."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, date: str = DATE, size: int | None = None, sha: bytes | None = None) -> bytes:
+    """One WARC/1.1 record, uncompressed. A revisit keeps the HTTP head, which states the payload's length.
+
+    size, sha: length and SHA-1 of the full payload, for a revisit that comes without it.
+    """
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "").encode()
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    said = digest(payload) if sha is None else base64.b32encode(sha).decode()
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload) if size is None else size)
     kind = b"revisit" if revisit else b"response"
     extra = f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: {_urn(refers_to)}\r\n".encode() if revisit else b""
     if not revisit:
         block += payload
     head = b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: %s\r\nWARC-Date: %s\r\nWARC-Target-URI: %s\r\n%sWARC-Payload-Digest: sha1:%s\r\nWARC-Block-Digest: sha1:%s\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: %d\r\n\r\n"
-    return head % (kind, _urn(page_id).encode(), date.encode(), uri, extra, digest(payload).encode(), digest(block).encode(), len(block)) + block + b"\r\n\r\n"
+    return head % (kind, _urn(page_id).encode(), date.encode(), uri, extra, said.encode(), digest(block).encode(), len(block)) + block + b"\r\n\r\n"
 
 
 def member(data: bytes, level: int = 1) -> bytes:
@@ -108,7 +116,7 @@ def plain_records(data: bytes) -> Iterator[tuple]:
             yield ("gap", start, at, reason)
 
 
-def inflate(data: memoryview, at: int, most: int = 1 << 30) -> tuple[bytes, int]:
+def inflate(data: memoryview, at: int, most: int = MOST) -> tuple[bytes, int]:
     """(contents, end) of the gzip member at `at`, checked by its CRC and length."""
     z, out, pos, size = zlib.decompressobj(31), [], at, 0
     try:
@@ -170,16 +178,21 @@ def _row(archive: str, x: tuple, payloads: bool) -> dict:
 
 
 def assign(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to, revisit): which record of equal payloads each row becomes."""
+    """(page_id, url, payload, refers_to, revisit, size, sha): which record each row becomes. A revisit's payload is null."""
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), body.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("refers_to"))
-    revisit = (F.col("refers_to").isNotNull() & (F.octet_length("payload") >= min_bytes)) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("refers_to")))
-    return rows.join(first, "sha", "left").withColumn("revisit", F.coalesce(revisit, F.lit(False))).drop("sha")
+    rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload"))
+    rows = rows.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
+    keys = rows.where(F.col("size") >= min_bytes).select("sha", "page_id").distinct()
+    first = keys.groupBy("sha").agg(F.min("page_id").alias("first")).where("first is not null")
+    # by digest and id: the rows of one payload, and their payloads, are dealt out
+    known = keys.join(first, "sha").select(F.col("sha").alias("_sha"), F.col("page_id").alias("_id"), "first")
+    found = rows.join(known, (F.col("sha") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
+    revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
+    return found.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"), "size", "sha")
 
 
-def write_archives(rows: DataFrame, folder: str, roll_bytes: int = 16 << 20, level: int = 1) -> int:
-    """Writes the rows of assign() as .warc.gz files of about roll_bytes. Returns the number of records.
+def write_archives(rows: DataFrame, folder: str, roll_bytes: int = 16 << 20, level: int = 1) -> tuple[int, int]:
+    """Writes the rows of assign() as .warc.gz files of about roll_bytes. Returns the numbers of records and of files.
 
     folder: a URI in the shared store. A task sorts its rows, writes under names of its own and renames at the end, so a
     task that runs again replaces its files by equal ones.
@@ -206,21 +219,21 @@ def write_archives(rows: DataFrame, folder: str, roll_bytes: int = 16 << 20, lev
                 out, n = None, n + 1
 
         for b in batches:
-            for page_id, url, payload, refers_to, revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "revisit")), strict=True):
+            for page_id, url, payload, refers_to, revisit, length, sha in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "revisit", "size", "sha")), strict=True):
                 if out is None:
                     file, size = f"{root}/_{uuid.uuid4().hex}", 0
                     out = store.open_output_stream(file, compression=None)
-                data = member(record(page_id, url, payload, refers_to, revisit), level)
+                data = member(record(page_id, url, payload or b"", refers_to, revisit, size=length, sha=sha), level)
                 out.write(data)
                 size, total = size + len(data), total + 1
                 if size >= roll_bytes:
                     close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([n], pa.int64())], names=["records", "files"])
 
     small_batches(rows.sparkSession)
-    made = rows.sortWithinPartitions("page_id", "url", "revisit").mapInArrow(run, "n long")
-    return made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    made = rows.sortWithinPartitions("page_id", "url", "revisit").mapInArrow(run, "records long, files long")
+    return tuple(made.agg(F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("files"), F.lit(0))).first())
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
@@ -245,9 +258,15 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 def query(spark, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    write_archives(assign(table(spark, sf_dir, "pages")), folder)
-    return read_archives(spark, folder, payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop)
+    _, files = write_archives(assign(table(spark, sf_dir, "pages")), folder)
+    found = sum(f.getPath().getName().endswith(".warc.gz") for f in store.listStatus(hadoop))
+    if found != files:
+        raise RuntimeError(f"{files} archives written, {found} found in {folder}")
+    # the archives are new, so every byte is a record's: a gap is a fault, not a row to leave out
+    sound = F.when(F.col("kind") == "record", True).otherwise(F.raise_error(F.format_string("%s: bytes %d to %d: %s", "archive", "start", "end", "reason")).cast("boolean"))
+    return read_archives(spark, folder, payloads=False).where(sound).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def sql() -> str:

@@ -160,7 +160,8 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "http://a b\r\n", "<p>é"), (1, None, "<p>é"), (2, "u", None), (7, "u", ""), (None, "u", "<p>é"), (9, "u", "x" * 300_000), (3, "http://a b\r\n", "<p>é")]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
     folder = f"file://{tmp_path}/w"
-    assert warc.write_archives(warc.assign(pages), folder, roll_bytes=200) == 7
+    records, files = warc.write_archives(warc.assign(pages), folder, roll_bytes=200)
+    assert records == 7 and files == sum(p.name.endswith(".warc.gz") for p in (tmp_path / "w").iterdir())
     out = warc.read_archives(spark, folder)
     assert out.where("kind = 'gap'").count() == 0
     got = sorted((r.page_id if r.page_id is not None else -1, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in out.collect())
@@ -433,3 +434,39 @@ def test_long_urls(spark, tmp_path):
     warc.write_archives(warc.assign(spark.createDataFrame([(1, url, "<p>a"), (2, "u", "<p>b")], "page_id long, url string, html string")), folder)
     out = warc.read_archives(spark, folder).collect()
     assert sorted((r.kind, r.page_id, r.target_uri) for r in out) == [("record", 1, url), ("record", 2, "u")]
+
+
+def test_warc_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.query(spark, str(tmp_path)).count() == 0
+
+
+def test_warc_loses_no_page(spark, tmp_path):
+    """A URL of a megabyte, a payload of many megabytes, and a payload that most rows share: every page comes back."""
+    rows = [(1, "data:," + "x" * (1 << 20), "<p>a"), (2, "u", "<p>" + "word " * 4_000_000), *[(i, "u", "same") for i in range(10, 60)], (70, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.query(spark, str(tmp_path)).collect()}
+    assert got[1] == ("response", None, 4) and got[2] == ("response", None, 20_000_003) and got[70] == ("response", None, 0)
+    assert got[10] == ("response", None, 4) and all(got[i] == ("revisit", 10, 4) for i in range(11, 60)) and len(got) == len(rows)
+
+
+def test_a_gap_in_new_archives_is_a_fault(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "u", "<p>a")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    write = warc.write_archives
+
+    def broken(rows, folder, **more):
+        out = write(rows, folder, **more)
+        for p in __import__("pathlib").Path(folder.removeprefix("file://")).glob("*.warc.gz"):
+            p.write_bytes(p.read_bytes()[:-9])
+        return out
+
+    monkeypatch.setattr(warc, "write_archives", broken)
+    with pytest.raises(Exception, match="member is cut off"):
+        warc.query(spark, str(tmp_path)).collect()
+
+
+def test_members_over_the_limit_are_gaps():
+    data = warc.member(b"x" * 1000)
+    assert warc.inflate(memoryview(data), 0)[0] == b"x" * 1000
+    with pytest.raises(warc.Bad, match="too large"):
+        warc.inflate(memoryview(data), 0, most=999)
