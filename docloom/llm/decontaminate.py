@@ -1,14 +1,17 @@
 """Benchmark decontamination: BM25 retrieval of test items by block-max WAND, verified by question and answer overlap.
 
 The test items are the collection: an inverted index of their words (lower-cased runs of letters, digits and
-underscores) with BM25 impacts, document frequencies counted over all training documents. Impacts are divided by the
+underscores) with BM25 impacts, document frequencies counted over all training documents, once for all items, in
+BUCKETS hash buckets of words (so they are upper bounds). Impacts are divided by the
 item's own full score, so a score is the weighted share of an item that a passage holds. Every document is cut into
 overlapping passages, long enough for two of the longest item at a stride of one, so each stretch of an item's length
 lies in one passage. Each passage is a query; block-max WAND returns every item that scores `threshold` or more.
-Each hit is verified: the shares of the three-word windows of its question (all sentences but the last) and its answer
-(the last sentence) that the passage has; a leak has `overlap` or more of all of them.
+Each hit is verified: the shares of the three-word windows of its question (all sentences but the last) and of its answer
+(the last sentence) that the passage has. A leak has `overlap` or more of the question, of the answer, and of all
+windows: a document that holds the question alone, or the answer alone, is none.
 
-The index is made for shards of at most about SHARD items, so what a task holds is bounded; documents stream past it.
+The index is made for shards of at most about SHARD items and SHARD_CHARS characters, so what is broadcast is bounded;
+documents stream past it.
 
 Defined results: items and documents without words match nothing; repeated documents are each reported; items of equal
 id and text count once, other texts under one id are items of their own; null ids are kept as they are; an empty benchmark gives no leak.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,7 +37,7 @@ from docloom.llm.common import double, long, packed, small_batches, table
 WORD = re.compile(r"\w+")
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 K1, B = 1.2, 0.75
-BLOCK, WINDOW, LEAST_PASSAGE, SHARD, CELLS = 8, 3, 128, 20_000, 8 << 20
+BLOCK, WINDOW, LEAST_PASSAGE, SHARD, SHARD_CHARS, CELLS, BUCKETS = 8, 3, 128, 20_000, 32 << 20, 8 << 20, 1 << 20
 HIT = T.StructType([long("item_id"), long("passage"), double("score"), double("question_overlap"), double("answer_overlap"), double("overlap")])
 
 
@@ -66,7 +70,8 @@ def share(part: list[str], passage: list[str], known: dict[int, set]) -> float:
 class Index:
     """Items in order of length, so that items of a block have impacts alike."""
 
-    def __init__(self, items: list[tuple[int, str]], documents: int, frequency: dict[str, int]):
+    def __init__(self, items: list[tuple[int, str]], documents: int, frequency):
+        """frequency: of a word, in documents."""
         rows = sorted(((len(w), i, w, t) for i, t in items if (w := words_of(t))), key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[3]))
         self.ids = [i for _, i, _, _ in rows]
         self.longest = max((n for n, *_ in rows), default=0)
@@ -76,7 +81,7 @@ class Index:
         for k, (n, _, words, _) in enumerate(rows):
             own = {}
             for w, tf in Counter(words).items():
-                df = min(frequency.get(w, 0), documents)
+                df = min(frequency(w), documents)
                 own[w] = math.log(1 + (documents - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / average))
             full = sum(own.values())
             for w, x in own.items():
@@ -183,28 +188,63 @@ class Index:
             passage, windows = words[starts[p] : starts[p] + size], {}
             for k, score in self.search(terms, threshold):
                 whole = share(words_of(self.texts[k]), passage, windows)
-                if whole >= overlap and (k not in found or whole > found[k]["overlap"]):
-                    q, a = (share(x, passage, windows) for x in question_and_answer(self.texts[k]))
+                if whole < overlap or k in found and whole <= found[k]["overlap"]:
+                    continue
+                q, a = (share(x, passage, windows) for x in question_and_answer(self.texts[k]))
+                if min(q, a) >= overlap:
                     found[k] = {"item_id": self.ids[k], "passage": int(starts[p]), "score": min(score, 1.0), "question_overlap": q, "answer_overlap": a, "overlap": whole}
         return [found[k] for k in sorted(found)]
 
 
-def document_frequencies(rows: DataFrame, vocabulary: dict[str, int]) -> tuple[int, dict[str, int]]:
-    """(documents, documents that have each word of the vocabulary) over all rows of _text."""
-    size = len(vocabulary)
+class Buckets(dict):
+    """The hash bucket of a word; kept for words seen, emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        return out
+
+
+def buckets_of(items: DataFrame) -> np.ndarray:
+    """The buckets of the items' words, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, seen = Buckets(), set()
+        for b in batches:
+            seen.update(bucket[w] for t in b.column("t").to_pylist() for w in set(words_of(t)))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], names=["bucket"])
+
+    return np.sort(items.select("t").mapInArrow(run, "bucket long").distinct().toPandas()["bucket"].to_numpy(np.int64))  # BUCKETS at most
+
+
+def document_frequencies(rows: DataFrame, wanted: np.ndarray) -> tuple[int, np.ndarray]:
+    """(documents, documents with a word in each of BUCKETS buckets, 0 for those not wanted) over all rows of _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(size, np.int64), 0
+        place = np.full(BUCKETS, -1, np.int64)
+        place[wanted] = np.arange(len(wanted))
+        counts, n, bucket, seen = np.zeros(len(wanted), np.int64), 0, Buckets(), set()
+        places: dict[str, int] = {}  # of the words seen that fall into a wanted bucket
         for b in batches:
             for t in b.column("_text").to_pylist():
-                counts[[vocabulary[w] for w in vocabulary.keys() & set(words_of(t))]] += 1
+                own = set(words_of(t))
+                for w in own - seen:
+                    if (k := int(place[bucket[w]])) >= 0:
+                        places[w] = k
+                seen |= own
+                counts[list({places[w] for w in places.keys() & own})] += 1
+            if len(seen) > 500_000:
+                seen.clear()
+                places.clear()
             n += b.num_rows
         found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int64()), pa.array(np.append(counts[found], n), pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(wanted[found], -1), pa.int64()), pa.array(np.append(counts[found], n), pa.int64())], names=["bucket", "n"])
 
-    names = list(vocabulary)
-    out = {r.word: r.n for r in rows.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # the vocabulary at most
-    return out.pop(-1, 0), {names[k]: n for k, n in out.items()}
+    got = rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS + 1 rows at most
+    out, real = np.zeros(BUCKETS, np.int64), got["bucket"] >= 0
+    out[got["bucket"][real]] = got["n"][real]
+    return int(got["n"][~real].sum()), out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.5, overlap: float = 0.5, keep: list[str] | None = None) -> DataFrame:
@@ -213,12 +253,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     small_batches(spark)
     rows = packed(docs, text) if keep is None else docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
     items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("t")).distinct()
-    shards = max(1, math.ceil(items.count() / SHARD))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    shards = max(1, math.ceil(size.n / SHARD), math.ceil(size.chars / SHARD_CHARS))
     kind = T.ArrayType(HIT)
+    n, counts = document_frequencies(rows.select("_text"), buckets_of(items)) if size.n else (0, None)
+    bucket = Buckets()
     for k in range(shards):
         some = [(r.id, r.t) for r in items.where(F.pmod(F.xxhash64("id", "t"), F.lit(shards)) == k).collect()]  # about SHARD items
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in some for w in words_of(t)}))}
-        index = spark.sparkContext.broadcast(Index(some, *document_frequencies(rows.select("_text"), vocabulary)) if vocabulary else None)
+        index = spark.sparkContext.broadcast(Index(some, n, lambda w: int(counts[bucket[w]])) if any(words_of(t) for _, t in some) else None)
         columns = [c for c in rows.columns if c != "hits"]
         schema = T.StructType([rows.schema[c] for c in columns] + [T.StructField("hits", kind)])
 

@@ -208,7 +208,7 @@ def test_wand_against_all_scores():
     vocabulary = [f"w{i}" for i in range(120)]
     pick = lambda n: " ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(120)], k=n))
     items = [(i, pick(r.randint(3, 30))) for i in range(150)]
-    index = decontaminate.Index(items, 1000, {w: r.randint(0, 900) for w in vocabulary})
+    index = decontaminate.Index(items, 1000, {w: r.randint(0, 900) for w in vocabulary}.__getitem__)
     for _ in range(150):
         terms = np.unique([index.vocabulary[w] for w in pick(r.randint(1, 60)).split() if w in index.vocabulary])
         if not len(terms):
@@ -470,3 +470,31 @@ def test_members_over_the_limit_are_gaps():
     assert warc.inflate(memoryview(data), 0)[0] == b"x" * 1000
     with pytest.raises(warc.Bad, match="too large"):
         warc.inflate(memoryview(data), 0, most=999)
+
+
+def test_question_and_answer_are_both_needed(spark):
+    question, answer = "Which river runs through the old town of the northern province today?", "It is the long green river that the map calls Arno."
+    rows = [(1, f"before it {question} {answer} after it"), (2, f"before it {question} and some other words that say nothing"), (3, f"some words that say nothing {answer} after it"), (4, f"{question} something between the two of them {answer}")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    out = decontaminate.leaks(docs, spark.createDataFrame([(7, f"{question} {answer}")], "item_id long, text string"))
+    assert sorted(r.d for r in out.where("size(hits) > 0").select(F.col("_row.doc_id").alias("d")).collect()) == [1, 4]
+
+
+def test_leaks_of_a_table_against_all_pairs(spark):
+    """Every document against every item, without an index: the same pairs are leaks."""
+    data = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    longest = max(len(decontaminate.words_of(t)) for t in items.values())
+    size = max(decontaminate.LEAST_PASSAGE, 2 * longest)
+    want = set()
+    for d, text in docs.items():
+        words = decontaminate.words_of(text)
+        for at in range(0, max(len(words) - size // 2, 1), size // 2):
+            windows = {}
+            for i, t in items.items():
+                parts = [decontaminate.words_of(t), *decontaminate.question_and_answer(t)]
+                if min(decontaminate.share(p, words[at : at + size], windows) for p in parts) >= 0.5:
+                    want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.query(spark, data).collect()}
+    assert got == want and len(want) > 0
