@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all as Spark expressions.
 
-A candidate is a private-key block, a run of 16 or more key characters with a digit (after any "name=" too), or a value of 8 or more
-characters assigned to a name such as password or token. Its length, character transitions, dictionary coverage, the
-path (source) of its document and the words next to it go to a forest that is trained, on the driver, on a labelled
+A candidate is a private-key block (PEM, encrypted PEM or PGP, from its first line to its last; without a last line, its
+headers and the long lines of key characters that follow), a run of 16 or more key characters with a digit anywhere in
+it (after any "name=" too), or a value of 8 or more characters assigned to a name such as password or token. Its length,
+character transitions, dictionary coverage, the path (source) of its document and the words before and after it go to a forest that is trained, on the driver, on a labelled
 table of findings (a bounded, generated one by default) whose features come from the same expressions; the trained
 forest becomes one Spark expression. Nothing is shuffled.
 
@@ -23,8 +24,11 @@ from pyspark.sql import types as T
 from docloom.llm.common import packed, table
 
 NAMES = "passwords?|passwd|pwd|passphrase|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth[_-]?keys?|credentials?"
-BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
-RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
+EDGE = "[A-Z0-9 ]{0,60}PRIVATE KEY(?: BLOCK)?-----"
+HEADERS = r"(?:\s*+[A-Z][A-Za-z-]*+: [^\n]*+)*+"
+#: From the first line to the last, whatever stands between but another line of five dashes; else headers and key lines.
+BLOCK = rf"-----BEGIN {EDGE}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {EDGE}|{HEADERS}(?:\s*+[A-Za-z0-9+/]{{16,}}+)*+(?:\s*+[A-Za-z0-9+/]*+=[A-Za-z0-9+/=]*+)*+)"
+RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
 ASSIGN = rf"(?i:\b(?:[a-z0-9]{{1,20}}[_-]){{0,3}}(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
 VALUE = r"[^\s\"',;]{8,}"
 CANDIDATE = f"{BLOCK}|{ASSIGN}{VALUE}|{RUN}"
@@ -34,7 +38,9 @@ ISSUED = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|
 DICTIONARY = ["account", "admin", "also", "another", "author", "center", "change", "changeme", "commit", "company", "content", "credit", "customer", "data", "default", "demo", "document", "dummy", "enter", "example", "fake", "file", "first", "foo", "from", "function", "hello", "here", "html", "http", "image", "index", "insert", "item", "length", "letmein", "license", "login", "message", "module", "name", "none", "null", "number", "order", "page", "pass", "password", "path", "place", "product", "public", "random", "replace", "report", "sample", "secret", "section", "server", "service", "session", "some", "static", "string", "system", "table", "test", "text", "that", "this", "title", "token", "true", "undefined", "update", "user", "value", "version", "wednesday", "welcome", "with", "word", "world", "your"]
 #: Frequent pairs of letters in European prose (fixed values).
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
-FEATURES = ["length", "switches", "digits", "distinct", "pairs", "dictionary", "hex", "runs", "uuid", "path", "named", "assigned", "refers", "issued", "block"]
+FEATURES = ["length", "switches", "digits", "distinct", "pairs", "dictionary", "hex", "runs", "uuid", "path", "named", "assigned", "refers", "issued", "block", "closed", "named_after", "refers_after"]
+#: Words that tell what a hash, a number or a sample is (fixed values).
+TOLD = r"commit|sha-?\d*|hash|checksum|digest|uuid|guid|md5|etag|revision|blob|id|isbn|doi|order|invoice|card|phone|image|build|version|color"
 FINDING = T.StructType([T.StructField("before", T.StringType()), T.StructField("value", T.StringType()), T.StructField("after", T.StringType()), T.StructField("path", T.StringType()), T.StructField("secret", T.BooleanType())])
 
 
@@ -51,7 +57,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "length": F.length(value).cast("double"),
         "switches": count(value, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n,
         "digits": count(value, "[0-9]") / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))).cast("double") / F.least(n, F.lit(64.0)),
+        "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double") / F.least(n, F.lit(64.0)),
         "pairs": count(lower, f"(?={PAIRS})") / n,
         "dictionary": 1 - F.length(F.regexp_replace(lower, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")).cast("double") / n,
         "hex": _flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & value.rlike("[A-Fa-f]")),
@@ -60,9 +66,12 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "path": _flag(path.rlike("(?i)test|example|sample|fixture|mock|demo|docs?/|readme") | before.rlike(r"[/\\.]$")),
         "named": _flag(before.rlike(rf"(?i)(?:{NAMES}|private|bearer|authorization|key)\b[^A-Za-z0-9]{{0,6}}$")),
         "assigned": _flag(before.rlike(r"[:=]\s{0,3}[\"']?$")),
-        "refers": _flag(before.rlike(r"(?i)\b(?:commit|sha-?\d*|hash|checksum|digest|uuid|guid|md5|etag|revision|blob|id|isbn|doi|order|invoice|card|phone|image|build|version|color)\b[^\n]{0,12}$")),
+        "refers": _flag(before.rlike(rf"(?i)\b(?:{TOLD})\b[^\n]{{0,12}}$")),
         "issued": _flag(value.rlike(ISSUED)),
         "block": _flag(F.startswith(value, F.lit("-----BEGIN"))),
+        "closed": _flag(after.rlike(r"^(?:[\"'`;,)\]}&]|\s*$|\s*\n)")),
+        "named_after": _flag(after.rlike(rf"(?i)^[^A-Za-z0-9\n]{{0,4}}(?:(?:is|as|was|the|my|our|your)\s+){{0,3}}(?:{NAMES}|private|key)\b")),
+        "refers_after": _flag(after.rlike(rf"(?i)^[^A-Za-z0-9\n]{{0,4}}(?:(?:is|as|was|the|a|an|in|of)\s+){{0,3}}(?:{TOLD}|examples?|samples?|placeholders?|dummy|fake|test|fixed|merged|reverted)\b")),
     }
 
 
@@ -93,6 +102,13 @@ def labelled_findings(seed: int = 7, each: int = 40) -> list[tuple]:
         add(True, r.choice(["", "Authorization: Bearer ", "use "]), r.choice(["ghp_", "glpat-", "sk_live_", "xoxb-", "hf_", "eyJ"]) + some(alnum, r.randint(24, 40)))
         add(True, "", "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(b64, 64) for _ in range(r.randint(2, 12))) + "\n-----END RSA PRIVATE KEY-----")
         add(True, f"password = {q}", some(alnum + "!@#%^&*", r.randint(10, 20)), q)
+        for _ in range(4):  # keys of all kinds of bodies, whole and cut off
+            kind = r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+            body = "\n".join(r.choice([some(b64, 64), some(hexa, 64), some(b64, 4) * 16, some(hexa, 40) * 3]) for _ in range(r.randint(1, 20)))
+            head = r.choice(["", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n", "Version: GnuPG v2\n\n"])
+            add(True, r.choice(["", "key = "]), f"-----BEGIN {kind}-----\n{head}{body}" + r.choice(["", f"\n-----END {kind}-----"]), r.choice(["\n", ""]))
+        add(False, "", f"-----BEGIN PRIVATE KEY-----{r.choice(['...', ' <key> ', chr(10) + '...' + chr(10)])}-----END PRIVATE KEY-----")
+        add(True, "use ", some(alnum, r.randint(28, 48)), r.choice([" as the api key", " is the token", " as password"]))
         # what looks like a secret and is none
         add(False, r.choice(["commit ", "sha1: ", "checksum ", "digest=", "revision ", "blob "]), some(hexa, 40))
         add(False, r.choice(["md5 ", "hash: ", "etag: ", "sha256:"]), some(hexa, r.choice([32, 64])))
@@ -106,6 +122,8 @@ def labelled_findings(seed: int = 7, each: int = 40) -> list[tuple]:
         add(False, f"{r.choice(names)} = {q}", some(hexa, 40), q, r.choice(trials))
         add(False, "version ", f"{r.randint(2000, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{some('0123456789', 6)}")
         add(False, "", f"{word()}{r.randint(0, 9)}{word()}")
+        add(False, r.choice(["see ", "in ", ""]), some(hexa, 40), r.choice([" (commit)", " is the checksum", " fixed it", " as sha1 of it", " merged"]))
+        add(False, f"{r.choice(names)} = {q}", some(alnum, 24), f"{q} is an example")
     return out
 
 
@@ -133,7 +151,7 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, tri
     return (k, t, grow(x[low], y[low], rng, depth - 1, tries), grow(x[~low], y[~low], rng, depth - 1, tries))
 
 
-def forest(x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 6, seed: int = 11) -> list:
+def forest(x: np.ndarray, y: np.ndarray, trees: int = 21, depth: int = 7, seed: int = 11) -> list:
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(trees):
@@ -200,7 +218,7 @@ def scan(docs: DataFrame, trees: list, text: str = "text", path: str | None = No
         start = s["at"] + head
         from_ = F.greatest(start - 60, F.lit(0))
         before = F.substr(F.col("_text"), from_ + 1, start - from_)
-        after = F.substr(F.col("_text"), start + F.length(value) + 1, F.lit(20))
+        after = F.substr(F.col("_text"), start + F.length(value) + 1, F.lit(40))
         return F.struct(start.alias("start"), value.alias("value"), before.alias("before"), after.alias("after"), F.when(F.startswith(value, F.lit("-----BEGIN")), "private_key").when(assigned, "assigned").otherwise("run").alias("kind"))
 
     none = F.array().cast("array<struct<start:int,value:string,before:string,after:string,kind:string>>")

@@ -152,3 +152,67 @@ def test_secrets_after_any_name(spark):
 
 def test_forest_of_no_findings(spark):
     assert secret_scan.fit(spark, spark.createDataFrame([], secret_scan.FINDING)) == [0.0]
+
+
+def redactions(spark, texts: list) -> list:
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [r.text for r in secret_scan.redacted(docs, secret_scan.default_forest(spark)).orderBy("doc_id").collect()]
+
+
+def test_key_blocks_go_whole(spark):
+    import random
+
+    r = random.Random(4)
+    body = "\n".join("".join(r.choices("ABCDEFabcdef0123456789+/", k=64)) for _ in range(9))
+    texts = [
+        f"a\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F1E\n\n{body}\nZk8+aQ==\n-----END RSA PRIVATE KEY-----\nb",
+        f"a -----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\nlQOY{body}\n=ab12\n-----END PGP PRIVATE KEY BLOCK----- b",
+        f"-----BEGIN PRIVATE KEY-----\n{body}\nZk8+aQ==\n\nProse goes on here, after a cut-off key.",
+        f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY----- and -----BEGIN EC PRIVATE KEY-----\n{body}\n-----END EC PRIVATE KEY-----",
+        "-----BEGIN CERTIFICATE-----\nno key here, only prose that goes on\n-----END CERTIFICATE-----",
+    ]
+    assert redactions(spark, texts) == ["a\n[SECRET]\nb", "a [SECRET] b", "[SECRET]\n\nProse goes on here, after a cut-off key.", "[SECRET] and [SECRET]", texts[4]]
+
+
+def test_candidates_of_any_length_and_odd_tables(spark, odd):
+    far = "abcDEF" * 50 + "7" + "xyz" * 5
+    docs = spark.createDataFrame([(1, f"k {far} e"), (1, f"k {far} e"), (2, "word and text. " * 100_000 + f"token = {far[-60:]}")], "doc_id int, text string")
+    found = [[(f.start, f.length) for f in r.findings] for r in secret_scan.scan(docs, [1.0]).orderBy("_row.doc_id").collect()]
+    assert found == [[(2, len(far))]] * 2 + [[(15 * 100_000 + 8, 60)]]
+    assert secret_scan.scan(odd, [1.0]).count() == 8 and secret_scan.redacted(odd, [1.0]).columns == odd.columns
+    assert secret_scan.redacted(odd.limit(0), [1.0]).count() == 0
+    assert [r.text for r in secret_scan.redacted(odd, [0.0]).where("doc_id = 1 or doc_id = 2").orderBy("doc_id").collect()] == [None, ""]
+
+
+def test_candidates_against_a_plain_search(spark):
+    """Each text's candidates, found one after the other by Python's search with the same pattern."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    pattern = re.compile(secret_scan.CANDIDATE, re.A)
+    head = re.compile(secret_scan.ASSIGN, re.A)
+    n = 0
+    for r in secret_scan.scan(docs, [1.0]).collect():
+        want = []
+        for m in pattern.finditer(texts[r._row.doc_id]):
+            h = None if m[0].startswith("-----BEGIN") else head.match(m[0])
+            at = m.start() + (h.end() if h else 0)
+            want.append((at, m.end() - at))
+        assert [(f.start, f.length) for f in r.findings] == want
+        n += len(want)
+    assert n > 0
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    rows = spark.createDataFrame(secret_scan.labelled_findings(seed=99, each=15), secret_scan.FINDING)
+    x = secret_scan.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
+    measured = rows.select("secret", *[c.alias(f"x_{n}") for n, c in x.items()])
+    out = measured.select("secret", secret_scan.vote(secret_scan.default_forest(spark), {n: F.col(f"x_{n}") for n in secret_scan.FEATURES}).alias("score")).toPandas()
+    assert ((out.score >= 0.5) == out.secret).mean() > 0.95
+
+
+def test_words_after_a_candidate_count(spark):
+    value = "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8v"
+    texts = [f"use {value} as the api key", "see 04dbebab91ab85687d33eeaaf9ac699e1188f962 is the checksum of it"]
+    assert redactions(spark, texts) == ["use [SECRET] as the api key", texts[1]]
