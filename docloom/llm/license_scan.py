@@ -173,7 +173,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> str:
-    """The query's rows in DuckDB SQL: every block of a line against every template, without filters; blocks across line breaks are not in it."""
+    """The query's rows in DuckDB SQL: every block of a line, and of a whole text of several lines, against every template, without filters."""
     sets = ", ".join("('{}', [{}], {})".format(label, ", ".join(f"'{w}'" for w in words), math.ceil(threshold * len(words) - 1e-9)) for label, words in template_words(templates))
     phrase = lambda parts: " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(parts))
     case = "CASE " + " ".join(f"WHEN {phrase(p.split())} THEN '{name}'" for p, name in PHRASES) + " END"
@@ -182,7 +182,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{WORDS}') AS ws FROM d),
 p AS (SELECT r, i, {case} AS label FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE contains(t, 'license'))),
 base AS (SELECT r, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS z, list(label) AS labels FROM p WHERE label IS NOT NULL GROUP BY r),
-lines AS (SELECT r, regexp_extract_all(line, '{WORDS}') AS ls FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w)),
+lines AS (SELECT r, regexp_extract_all(line, '{WORDS}') AS ls FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w) UNION ALL SELECT r, ws AS ls FROM w WHERE contains(t, chr(10))),
 blocks AS (SELECT r, list_distinct(ls[k * {STRIDE} + 1 : k * {STRIDE} + {WINDOW}]) AS b FROM (SELECT r, ls, unnest(range(0, greatest(0, CAST(floor((len(ls) - {WINDOW} + {STRIDE} - 1) / {STRIDE}) AS INT)) + 1)) AS k FROM lines WHERE len(ls) > 0)),
 sets(label, ts, need) AS (VALUES {sets}),
 pairs AS (SELECT r, label, len(ts) AS size, need, len(list_intersect(ts, b)) AS n FROM blocks, sets),
