@@ -6,7 +6,8 @@ and goes on until a rule is no longer precise. The list becomes one Spark condit
 
 Defined results: a null or empty text has no words and fails the base rule; a document without a label or with
 several is judged like any other (several labels of one document count as their minimum); without labels of both
-kinds the list is empty and only the base rule judges; repeated rows are judged row by row.
+kinds the list is empty and only the base rule judges; repeated rows are judged row by row, and the row of the least
+statistics stands for a repeated id in training.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", sample: int
     """Rules learned from at most `sample` labelled documents of (_row, statistics)."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     some = bounded_sample(marked, "doc_id", sample).withColumnRenamed("doc_id", "_doc_id")
-    rows = stats.withColumn("_doc_id", F.col(f"_row.`{doc_id}`")).join(F.broadcast(some), "_doc_id").groupBy("_doc_id").agg(F.min("_quality").alias("_quality"), *[F.min(c).alias(c) for c in COUNTS + RATIOS]).limit(sample).toPandas()
+    rows = stats.withColumn("_doc_id", F.col(f"_row.`{doc_id}`")).join(F.broadcast(some), "_doc_id").groupBy("_doc_id").agg(F.min("_quality").alias("_quality"), F.min(F.struct(*COUNTS, *RATIOS)).alias("s")).select("_doc_id", "_quality", "s.*").limit(sample).toPandas()
     rows = rows[(rows["n_words"] >= 50) & (100 * rows["n_repeat_words"] <= 50 * rows["n_words"])].sort_values("_doc_id")  # what the base rule leaves
     bad = rows["_quality"].to_numpy() == 0
     if not bad.any() or bad.all():
