@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over words, link density and neighbours.
 
 A page becomes a flat list of blocks. Each has its word count and link density, those of the blocks before and after,
-and whether it stands in an article or in something around it (menu, form, advert, comments). A CART tree trained on
-the small labelled table below keeps or drops each block.
+whether it is a heading, and where it stands: in an article (2), in the main part (1), elsewhere (0), and whether in
+something around the text (menu, form, advert, notice, comments). What a wrapper's element or class says does not hold
+for a wrapper of the page's own article, nor for one with the top heading and over a third of the page's words. A CART tree
+trained on the small labelled table below, whose pages cross lengths and positions, keeps or drops each block.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed and cut-off tags, comments and scripts
 end at the page's end; repeated rows are extracted row by row; other columns go through whole.
@@ -11,6 +13,7 @@ end at the page's end; repeated rows are extracted row by row; other columns go
 from __future__ import annotations
 
 import html
+import random
 import re
 from functools import lru_cache
 
@@ -28,37 +31,105 @@ BLOCKS = frozenset("html head body main article section div nav header footer as
 AROUND = frozenset("nav footer aside form fieldset menu dialog".split())
 #: An element that opens ends an open one of its own list, up to the element in second place.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-HINT_AROUND = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|gdpr|comments?|replies|disqus|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|widget|hidden|copyright|disclaimer)(?:$|[\s_-])")
-HINT_HEADER = re.compile(r"(?:^|[\s_-])(?:header|head|site-header|page-header)(?:$|[\s_-])")
-HINT_MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main|body-text|text-body)(?:$|[\s_-])")
+#: Class and id words of what stands around a text (fixed values); ad-slot, ad_top and the like count by their first part.
+HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar toolbar share sharing social related recommend recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager widget widgets hidden copyright disclaimer".split())
+COMMENT_HINTS = frozenset("comment comments reply replies disqus respond".split())
+HEADER_HINTS = frozenset("header head".split())
+MAIN_HINTS = frozenset("article articlebody post entry story content main".split())
+#: First parts of class words that describe a wrapper by what it holds or lacks (fixed values).
+STATES = frozenset("has no with without is not show hide layout page body single type category tag format js".split())
+ROLES_AROUND = frozenset("navigation banner complementary contentinfo search form dialog alert menu".split())
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?", re.I)
-FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "around", "page_has_article", "heading"]
+FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "place", "around", "page_has", "heading"]
+#: What an element is, as bits. A WEAK one can be a wrapper; a FIRM one is always around the text.
+ARTICLE, MAIN, WEAK, FIRM, HEADER = 1, 2, 4, 8, 16
 
 
-def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(stands for the article, stands for something around it)."""
-    main, around = tag in ("article", "main"), tag in AROUND or tag == "header" and not inside
+def _hinted(names: str, tag: str) -> int:
+    out = 0
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if not parts or parts[0] in STATES and len(parts) > 1:
+            continue
+        ends = {parts[0], parts[-1]}
+        if ends & COMMENT_HINTS:
+            out |= FIRM if tag != "body" else 0
+        elif tag in ("article", "main"):  # their other class words say what they look like
+            out |= WEAK * (parts[0] in ("ad", "ads", "advert", "sponsored", "promo", "related"))
+        elif ends & HINTS:
+            out |= WEAK
+        elif ends & HEADER_HINTS:
+            out |= HEADER  # around, unless inside an article
+        elif tag in ("div", "section", "td") and ends & MAIN_HINTS:
+            out |= MAIN
+    return out
+
+
+def _marks(tag: str, attributes: str) -> int:
+    """What an element's tag and attributes say of it."""
+    out = {"article": ARTICLE, "main": MAIN, "form": WEAK, "fieldset": WEAK, "header": HEADER}.get(tag, FIRM if tag in AROUND else 0)
     if attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = "".join(values).lower(), name.lower()
             if name in ("class", "id"):
-                around |= bool(HINT_AROUND.search(value)) and tag not in ("html", "body") or not inside and bool(HINT_HEADER.search(value))
-                main |= bool(HINT_MAIN.search(value)) and tag in ("div", "section", "td")
+                out |= _hinted(value, tag) if tag != "html" else 0
             elif name == "role":
-                main |= value in ("main", "article")
-                around |= value in ("navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alert", "menu")
+                out |= MAIN * (value == "main") | ARTICLE * (value == "article") | WEAK * (value in ROLES_AROUND)
             elif name == "itemprop":
-                main |= value == "articlebody"
-                around |= value == "comment"
+                out |= ARTICLE * (value == "articlebody") | FIRM * (value == "comment")
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                around = True
-    return main, around
+                out |= FIRM
+    return out
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, linked words, in an article, around it, heading) of each block with text, in page order."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, and what holds for all inside it
+class Elements:
+    """The elements of a page that hold blocks: parent, marks, words inside, whether a top heading is inside."""
+
+    def __init__(self):
+        self.parent, self.marks, self.words, self.title = [-1], [0], [0], [False]
+
+    def add(self, parent: int, marks: int, title: bool) -> int:
+        self.parent.append(parent)
+        self.marks.append(marks)
+        self.words.append(0)
+        self.title.append(title)
+        return len(self.marks) - 1
+
+    def places(self) -> list[tuple[int, bool]]:
+        """(place, around) of each element."""
+        n, words, title = len(self.marks), list(self.words), list(self.title)
+        for k in range(n - 1, 0, -1):
+            if not self.marks[k] & FIRM:
+                words[self.parent[k]] += words[k]
+                title[self.parent[k]] |= title[k]
+        # the page's own article: the largest article that nothing firm is around, or else the largest main part
+        firm = [False] * n
+        best: dict[int, tuple[int, int]] = {}
+        for k in range(1, n):
+            firm[k] = firm[self.parent[k]] or bool(self.marks[k] & FIRM)
+            for kind in (ARTICLE, MAIN):
+                if self.marks[k] & kind and not firm[k] and words[k] > best.get(kind, (0, 0))[0]:
+                    best[kind] = (words[k], k)
+        k = best.get(ARTICLE, best.get(MAIN, (0, 0)))[1]
+        wraps = set()
+        while k:
+            wraps.add(k)
+            k = self.parent[k]
+        out = [(0, False)]
+        for k in range(1, n):
+            place, around = out[self.parent[k]]
+            m = self.marks[k]
+            wrapper = title[k] and 3 * words[k] > words[0]
+            around = around or bool(m & FIRM) or bool(m & WEAK) and not (wrapper or k in wraps) or bool(m & HEADER) and not (place or wrapper)
+            out.append((2 if m & ARTICLE else max(place, 1) if m & MAIN else place, around))
+        return out
+
+
+def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
+    """(text, words, linked words, place, around, heading) of each block with text, in page order."""
+    out: list[tuple[str, int, int, int, bool]] = []
+    elements = Elements()
+    stack: list[tuple[str, int]] = []  # tag and element
     text: list[str] = []
     linked: list[str] = []
     link = heading = 0
@@ -68,8 +139,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
                 n = whole.count(" ") + 1
-                main, around = stack[-1][1:] if stack else (False, False)
-                out.append((whole, n, min(n, len(html.unescape(" ".join(linked)).split())), main, around, bool(heading)))
+                at = stack[-1][1] if stack else 0
+                elements.words[at] += n
+                out.append((whole, n, min(n, len(html.unescape(" ".join(linked)).split())), at, bool(heading)))
         text.clear()
         linked.clear()
 
@@ -127,51 +199,86 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                         if stack[k][0] in same:
                             del stack[k:]
                             break
-                main, around = stack[-1][1:] if stack else (False, False)
                 if tag != "hr":
-                    a, b = _marks(tag, attributes, main)
-                    stack.append((tag, main or a, around or b))
+                    stack.append((tag, elements.add(stack[-1][1] if stack else 0, _marks(tag, attributes), tag == "h1")))
             heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
     flush()
-    return out
+    places = elements.places()
+    return [(t, n, k, *places[e], h) for t, n, k, e, h in out]
 
 
 def features(found: list[tuple]) -> np.ndarray:
     n = np.array([[b[1], b[2] / b[1], b[3], b[4], b[5]] for b in found], float).reshape(len(found), 5)
     edge = np.zeros((1, 2))
     before, after = np.vstack([edge, n[:-1, :2]]), np.vstack([n[1:, :2], edge])
-    article = np.full((len(n), 1), float((n[:, 2] * (1 - n[:, 3])).any()) if len(n) else 0)
-    return np.hstack([n[:, :2], before, after, n[:, 2:4], article, n[:, 4:]])
-
-
-#: The labelled table: FEATURES, then 1 for text to keep.
-LABELLED = [
-    # menus, headers and footers before and after articles
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 0), (1, 1.0, 2, 1.0, 12, 0.0, 0, 1, 1, 0, 0),
-    (12, 0.0, 1, 1.0, 9, 0.0, 0, 1, 1, 0, 0), (9, 0.0, 60, 0.0, 0, 0.0, 0, 1, 1, 0, 0), (30, 0.1, 80, 0.0, 0, 0.0, 0, 1, 1, 0, 0),
-    (3, 1.0, 0, 0.0, 4, 1.0, 0, 0, 1, 0, 0), (15, 0.0, 3, 1.0, 8, 0.0, 0, 0, 1, 0, 0), (40, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
-    (5, 0.0, 120, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (70, 0.0, 5, 1.0, 6, 0.0, 0, 1, 1, 0, 0), (110, 0.02, 8, 0.0, 90, 0.0, 0, 1, 1, 0, 0),
-    # adverts, forms, related links and comments inside articles
-    (8, 0.0, 60, 0.0, 75, 0.0, 1, 1, 1, 0, 0), (25, 0.0, 80, 0.0, 45, 0.0, 1, 1, 1, 0, 0), (4, 1.0, 30, 0.0, 4, 1.0, 1, 1, 1, 0, 0),
-    (60, 0.0, 12, 0.0, 35, 0.0, 1, 1, 1, 0, 0), (2, 0.0, 60, 0.0, 1, 0.0, 1, 1, 1, 1, 0), (150, 0.0, 60, 0.0, 20, 0.0, 1, 1, 1, 0, 0),
-    # text of articles: headings, paragraphs of any length, lists, paragraphs with links
-    (7, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1, 1, 1), (3, 0.0, 80, 0.0, 70, 0.0, 1, 0, 1, 1, 1), (1, 0.0, 5, 0.0, 1, 0.0, 1, 0, 1, 0, 1),
-    (1, 0.0, 70, 0.0, 9, 0.0, 1, 0, 1, 0, 1), (60, 0.0, 7, 0.0, 80, 0.0, 1, 0, 1, 0, 1), (90, 0.05, 60, 0.0, 2, 0.0, 1, 0, 1, 0, 1),
-    (15, 0.0, 90, 0.0, 12, 0.0, 1, 0, 1, 0, 1), (30, 0.4, 60, 0.0, 45, 0.0, 1, 0, 1, 0, 1), (250, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 0, 1),
-    (6, 0.5, 40, 0.0, 55, 0.0, 1, 0, 1, 0, 1), (3, 1.0, 40, 0.0, 55, 0.0, 1, 0, 1, 0, 1), (2, 0.0, 3, 0.0, 9, 0.0, 1, 0, 1, 0, 1),
-    # pages without an article element
-    (45, 0.0, 5, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (60, 0.05, 45, 0.0, 80, 0.0, 0, 0, 0, 0, 1), (18, 0.0, 80, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
-    (12, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 70, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (80, 0.1, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 1), (22, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 22, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
-    (25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (14, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 2, 1.0, 45, 0.0, 0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (9, 0.7, 3, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (20, 0.8, 4, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (40, 0.9, 60, 0.0, 30, 0.9, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0, 0), (50, 0.0, 3, 0.0, 40, 0.0, 0, 1, 0, 0, 0), (6, 0.0, 45, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
-]
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+    has = np.full((len(n), 1), float((n[:, 2] * (1 - n[:, 3])).max()) if len(n) else 0)
+    return np.hstack([n[:, :2], before, after, n[:, 2:4], has, n[:, 4:]])
+
+
+#: Words of a labelled paragraph, heading or list item, and of what is around a text.
+LENGTHS, SHORT = (1, 2, 4, 8, 15, 30, 60, 110, 200, 400, 700), (1, 2, 3, 5, 8, 12, 20, 40, 90)
+#: Kinds of labelled pages: where the text stands, and whether its own marks tell what is around it.
+PAGES = [("article", True), ("article", False), ("main", True), ("main", False), ("none", True), ("none", False)]
+
+
+def labelled_pages(seed: int = 3, each: int = 80) -> list[list[tuple]]:
+    """The labelled table: pages as lists of (words, linked words, place, around, heading, keep).
+
+    Texts of 1 to 20 paragraphs of all LENGTHS in any order, with headings, lists and links; before, between and after
+    them menus, notices, adverts, forms, comments and closing lines.
+    """
+    r = random.Random(seed)
+    out = []
+    for kind, marked in PAGES:
+        place = {"article": 2, "main": 1, "none": 0}[kind]
+        for _ in range(each):
+            page: list[tuple] = []
+            bare = r.random() < 0.4  # nothing but the text
+
+            def menu(around: bool, n: int):
+                for _ in range(n):
+                    k = r.randint(1, 6)
+                    page.append((k, k, 0, around, False, 0))
+
+            menu(marked, 0 if bare else r.randint(0, 8))
+            if r.random() < 0.5 and marked and not bare:  # a slogan or a notice
+                page.append((r.choice(SHORT), 0, 0, True, False, 0))
+            if r.random() < 0.3 and kind != "none" and not bare:  # short lines outside the text, without marks
+                page.append((r.choice(SHORT[:6]), 0, 0, False, False, 0))
+            if r.random() < 0.8:
+                page.append((r.randint(2, 14), 0, place, False, True, 1))
+            for _ in range(r.choice([1, 1, 2, 3, 5, 10, 20])):
+                n = r.choice(LENGTHS)
+                links = r.choice([0, 0, 0, r.randint(0, n // 3)]) if place or n > 8 else 0
+                page.append((n, links, place, False, False, 1))
+                if r.random() < 0.15:
+                    page.append((r.randint(1, 12), 0, place, False, True, 1))
+                if r.random() < 0.1:  # a list, some of links within the text
+                    for _ in range(r.randint(2, 5)):
+                        k = r.randint(1, 9)
+                        page.append((k, k if place and r.random() < 0.3 else 0, place, False, False, 1))
+                if r.random() < 0.15 and marked:  # an advert, a form, a share bar
+                    k = r.choice(SHORT)
+                    page.append((k, r.choice([0, k]), place, True, False, 0))
+            if marked and not bare:  # comments
+                for _ in range(r.choice([0, 0, 2, 5])):
+                    page.append((r.choice(LENGTHS), 0, place, True, r.random() < 0.1, 0))
+            for _ in range(0 if bare else r.randint(0, 5)):  # related links and the closing menu
+                k = r.randint(2, 10)
+                page.append((k, k, 0, marked, False, 0))
+            if not bare and r.random() < 0.7 and (marked or kind != "none"):
+                page.append((r.choice(SHORT[:7]), 0, 0, marked, False, 0))
+            out.append(page)
+    return out
+
+
+def labelled_table() -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES of the labelled blocks, and 1 for those to keep."""
+    pages = labelled_pages()
+    return np.vstack([features([("", *b[:5]) for b in p]) for p in pages]), np.array([b[5] for p in pages for b in p], float)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 8):
     """A CART tree by Gini impurity: a share of kept blocks, or (feature, threshold, below, at or above)."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -206,8 +313,7 @@ def keep(tree, x: np.ndarray) -> np.ndarray:
 
 @lru_cache(1)
 def default_tree():
-    rows = np.array(LABELLED, float)
-    return grow(rows[:, :-1], rows[:, -1])
+    return grow(*labelled_table())
 
 
 def main_text(page: str, tree=None) -> str:
@@ -219,7 +325,7 @@ def main_text(page: str, tree=None) -> str:
 
 
 def extract(pages: DataFrame, markup: str = "html", labelled: list[tuple] | None = None) -> DataFrame:
-    """(_row, text, n_chars) for every row of pages. labelled: rows like LABELLED to train on instead."""
+    """(_row, text, n_chars) for every row of pages. labelled: rows of FEATURES and 1 for blocks to keep, to train on instead."""
     tree = default_tree() if labelled is None else grow(np.array(labelled, float)[:, :-1], np.array(labelled, float)[:, -1])
 
     def make():

@@ -216,3 +216,82 @@ def test_words_after_a_candidate_count(spark):
     value = "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8v"
     texts = [f"use {value} as the api key", "see 04dbebab91ab85687d33eeaaf9ac699e1188f962 is the checksum of it"]
     assert redactions(spark, texts) == ["use [SECRET] as the api key", texts[1]]
+
+
+def generated_page(r, kind: str) -> tuple[str, list[str]]:
+    """A page and the blocks of its text. Paragraphs of 1 to 600 words, 1 to 20 of them, in any order."""
+    prose = lambda n: " ".join(r.choice("alpha beta gamma delta river stone green under often quite".split()) + str(r.randint(0, 999)) for _ in range(n))
+    truth, inner = [], []
+
+    def say(tag: str, text: str, shown: str | None = None):
+        truth.append(text)
+        inner.append(f"<{tag}>{shown or text}</{tag}>")
+
+    say("h1", prose(r.randint(2, 12)))
+    for _ in range(r.randint(1, 20)):
+        words = prose(r.choice([1, 3, 9, 20, 60, 110, 150, 300, 600])).split()
+        if len(words) > 8 and r.random() < 0.3:
+            say("p", " ".join(words), f"{' '.join(words[:4])} <a href='/x'>{words[4]}</a> {' '.join(words[5:])}")
+        else:
+            say("p", " ".join(words))
+        if r.random() < 0.2:
+            say("h2", prose(r.randint(1, 6)))
+        if r.random() < 0.15:
+            inner.append(r.choice([f"<div class='ad-slot'>{prose(12)}</div>", f"<form><label>{prose(3)}</label><input></form>", f"<div class=share><a href=#>{prose(1)}</a></div>", "<script>var a='<p>no</p>';</script>", f"<aside><p>{prose(30)}</p></aside>"]))
+    body = "".join(inner)
+    comments = f"<section id='comments'><h3>{prose(2)}</h3>" + "".join(f"<article class='comment'><p>{prose(r.choice([5, 50, 400]))}</p></article>" for _ in range(r.randint(0, 6))) + "</section>"
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>{prose(r.randint(1, 3))}</a>" for i in range(r.randint(1, 8))) + "</ul></nav>"
+    around = f"<header class='site-header'><p>{prose(15)}</p></header>{menu}<div class='cookie-notice'>{prose(20)}</div>"
+    after = f"<div class='sidebar'><p>{prose(60)}</p></div><footer><p>{prose(25)}</p></footer>"
+    wrapped = {
+        "article": f"<article>{body}</article>{comments}",
+        "inside": f"<article>{body}{comments}</article>",
+        "main": f"<main>{body}</main>{comments}",
+        "classes": f"<div class='layout no-sidebar'><div class='page has-header'><article class='post share has-comments'>{body}</article></div></div>{comments}",
+        "form": f"<form id='aspnetForm'><article>{body}</article></form>",
+        "board": f"<main class='notice-board'>{body}</main>",
+        "plain": f"<div class='outer'>{body}</div>",
+    }[kind]
+    return f"<!doctype html><html><head><title>{prose(4)}</title></head><body class='single has-menu'>{around}{wrapped}{after}</body></html>", truth
+
+
+def test_text_of_generated_pages():
+    """Brute force: the blocks that a page was made of, against those found, for every kind of wrapper."""
+    import random
+
+    r = random.Random(6)
+    for kind in ("article", "inside", "main", "classes", "form", "board", "plain"):
+        right = found = wanted = 0
+        for _ in range(60):
+            page, truth = generated_page(r, kind)
+            got = html_text.main_text(page).split("\n")
+            found, wanted = found + len(got), wanted + len(truth)
+            right += len(set(got) & set(truth))
+        assert right >= 0.98 * wanted and right >= 0.98 * found, (kind, right, found, wanted)
+
+
+@pytest.mark.parametrize("sizes", [(150, 150, 150), (90, 90, 90), (1,), (600,), (1, 600, 1), (30,) * 20])
+def test_paragraphs_of_any_length_stay(sizes):
+    texts = [f"p{i} " + "word " * (n - 1) for i, n in enumerate(sizes)]
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    want = "\n".join(t.strip() for t in texts)
+    assert html_text.main_text(f"<body><nav><a href=/>home</a></nav><article>{body}</article><footer>end</footer>") == want
+    assert html_text.main_text(f"<article>{body}</article>") == want
+
+
+def test_text_of_the_pages_own_articles(spark):
+    """The tables' pages have article elements: every block of them that nothing around the text holds comes back, and no other."""
+    import re
+
+    for page in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        found = html_text.blocks(page.html)
+        inside = re.search(r"<article>(.*)</article>", page.html, re.S)
+        want = [b[0] for b in found if b[3] == 2 and not b[4]]
+        assert html_text.main_text(page.html) == "\n".join(want)
+        assert inside is None or len(want) > 0
+
+
+def test_html_of_odd_tables(spark):
+    rows = spark.createDataFrame([(1, "<article>" + "<p>word one two</p>" * 60_000)], "page_id int, html string")
+    assert html_text.extract(rows).first().n_chars == 60_000 * 13 - 1
+    assert html_text.extract(rows.limit(0)).count() == 0
