@@ -12,9 +12,13 @@ alike) a node make 32 bands of 4: a link by either similarity has candidates of
 bucket every node is paired with the first, and then the nodes not yet connected with it with a second. Pairs that agree in enough samples (least_agreement) are verified on whole
 texts: weighted Jaccard similarity of 0.8 or more, or that of the plain sets, since copies in a very large group share only
 shingles of low weight. Then the nodes of one bucket that are still in different components are all held against each
-other, by their samples inside the join and by their texts, so no pair that shares a bucket is left out unless it is
-already connected, whatever the size of the bucket: the nodes outside a bucket's largest component meet all of its
-nodes, block by block.
+other, inside the join, so no pair that shares a bucket is left out unless it is already connected, whatever the size of
+the bucket: the nodes outside a bucket's largest component meet all of its nodes, block by block.
+
+What meets so is bounded exactly before any text is read. Shingles have one order, rarest first. All that two texts share
+stands from their first common shingle on, in both: if less than t / (1 + t) of both texts' total does, in number and in
+weight, no similarity can be t. Texts edited from one base have their own shingles first, so of the pairs of a large
+group that are not similar enough nearly none is left to verify, and the pairs do not grow with its square.
 
 Nothing is gathered by group: buckets are joined and aggregated, components come from large-star and small-star steps.
 
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -243,6 +248,50 @@ def _verified(idf: np.ndarray, threshold: float):
     return run
 
 
+def head(s: np.ndarray, n: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(hashes, weights from each on, whole weight) of the rarest shingles, rarest first, among which a text must have the first that it shares with one similar enough."""
+    w = np.exp(levels(s, n, idf) / GRID)
+    order = np.argsort(-idf[(s >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")  # s is sorted: ties by hash
+    rest = np.cumsum(w[order][::-1])[::-1]
+    k = max(int(len(s) * (1 - threshold) + 1e-6) + 1, int((rest >= threshold * rest[0] * (1 - 1e-6)).sum()))
+    return s[order[:k]].view(np.int64), rest[:k], float(rest[0])
+
+
+HEAD = [T.StructField("head", T.ArrayType(T.LongType())), T.StructField("rest", T.ArrayType(T.DoubleType())), T.StructField("size", T.IntegerType()), double("total")]
+
+
+def _heads(idf: np.ndarray, threshold: float):
+    def make():
+        hashes = Hashes()
+
+        def columns(texts: list[str]) -> list[list]:
+            out: list[list] = [[] for _ in HEAD]
+            for t in texts:
+                s, n = shingles(t, hashes)
+                tokens, rest, total = head(s, n, idf, threshold)
+                for column, v in zip(out, (tokens, rest, len(s), total), strict=True):
+                    column.append(v)
+            return out
+
+        return columns
+
+    return make
+
+
+def can_reach(threshold: float) -> Column:
+    """Whether nodes a and b can be similar enough, by their first common shingle: exact, no such pair is lost."""
+    first = F.get(F.array_intersect("head_a", "head_b"), F.lit(0))
+
+    def bounded(f: Column) -> Column:
+        at = {x: F.array_position(f"head_{x}", f).cast("int") - 1 for x in "ab"}
+        share = F.lit(threshold / (1 + threshold) * (1 - 1e-6))
+        plain = F.least(*[F.col(f"size_{x}") - at[x] for x in "ab"]) >= share * (F.col("size_a") + F.col("size_b"))
+        weighted = F.least(*[F.get(f"rest_{x}", at[x]) for x in "ab"]) >= share * (F.col("total_a") + F.col("total_b"))
+        return plain | weighted
+
+    return F.exists(F.array(first), lambda f: f.isNotNull() & bounded(f))
+
+
 def agreement(a: str, b: str, first: int = 0) -> Column:
     """In how many of SAMPLES samples from `first` on two nodes agree."""
     return F.size(F.filter(F.zip_with(F.slice(a, first + 1, SAMPLES), F.slice(b, first + 1, SAMPLES), lambda x, y: x == y), lambda z: z))
@@ -271,9 +320,9 @@ def agreeing(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 def in_join(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of nodes of one key and different parts that agree in enough samples, in small buckets; a pair comes in its first band alone."""
-    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "sig", "open", "bits")]) for x in "ab")
+    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "sig", "open", "bits", "head", "rest", "size", "total")]) for x in "ab")
     first = shared_bands("sig_a", "sig_b").bitwiseAND(F.col("open_a")).bitwiseAND(F.col("bits_a") - 1) == 0
-    near = (F.col("part_a") < F.col("part_b")) & worth_reading(agreement_at(threshold), threshold) & first
+    near = (F.col("part_a") < F.col("part_b")) & worth_reading(agreement_at(threshold), threshold) & first & can_reach(threshold)
     return left.join(right, (left["key"] == right["key"]) & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
@@ -291,11 +340,45 @@ def in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     right = each("strays", lambda x: task(x, dealt("n"), False))
     left = each("n", lambda y: task(dealt("strays"), y, True))
     tasks = F.explode(F.when(F.col("stray"), F.concat(left, right)).otherwise(right))
-    met = rows.withColumn("t", tasks).select("key", "t.x", "t.y", "t.left", "node", "part", "stray", "sig", "open", "bits")
-    return met.groupBy("key", "x", "y").applyInArrow(_met(agreement_at(threshold)), "a binary, b binary")
-
-
-def _met(least: int):
+    met = rows.withColumn("t", tasks).select("key", "t.x", "t.y", "t.left", "node", "part", "stray", "sig", "open", "bits", "head", "rest", "size", "total")
+    return met.groupBy("key", "x", "y").applyInArrow(_met(agreement_at(threshold), threshold), "a binary, b binary")
+
+
+def reaching(heads: "Heads", i: int, js: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the nodes js can be similar enough to node i, as can_reach."""
+    own = heads.of(i)
+    order = np.argsort(own, kind="stable")
+    ranked = own[order]
+    lengths = heads.start[js + 1] - heads.start[js]
+    ends = np.cumsum(lengths)
+    rank = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+    tokens = heads.tokens[np.repeat(heads.start[js], lengths) + rank]
+    at = np.minimum(np.searchsorted(ranked, tokens), len(ranked) - 1)
+    hit = np.flatnonzero(ranked[at] == tokens)
+    which, first = np.unique(np.repeat(np.arange(len(js)), lengths)[hit], return_index=True)
+    a, b, j = order[at[hit[first]]], rank[hit[first]], js[which]
+    share = threshold / (1 + threshold) * (1 - 1e-6)
+    plain = np.minimum(heads.size[i] - a, heads.size[j] - b) >= share * (heads.size[i] + heads.size[j])
+    weighted = np.minimum(heads.rest[heads.start[i] + a], heads.rest[heads.start[j] + b]) >= share * (heads.total[i] + heads.total[j])
+    out = np.zeros(len(js), bool)
+    out[which] = plain | weighted
+    return out
+
+
+class Heads:
+    """The heads of the nodes of a table, one after the other."""
+
+    def __init__(self, t: pa.Table):
+        column = lambda c: t.column(c).combine_chunks()
+        self.tokens, self.rest = (column(c).flatten().to_numpy(zero_copy_only=False) for c in ("head", "rest"))
+        self.start = np.append(0, np.cumsum(pc.list_value_length(column("head")).to_numpy(zero_copy_only=False).astype(np.int64)))
+        self.size, self.total = (column(c).to_numpy(zero_copy_only=False) for c in ("size", "total"))
+
+    def of(self, i: int) -> np.ndarray:
+        return self.tokens[self.start[i] : self.start[i + 1]]
+
+
+def _met(least: int, threshold: float):
     def agreeing_in(same: np.ndarray) -> np.ndarray:
         """How many of SAMPLES flags are set, eight at a time."""
         return (same.view(np.uint64).sum(2) * np.uint64(0x0101010101010101)) >> np.uint64(56)
@@ -308,7 +391,7 @@ def _met(least: int):
         rank = np.array([order[v] for v in node])
         part = np.array([parts.setdefault(p, len(parts)) for p in t.column("part").to_pylist()])
         left, right = np.flatnonzero(side), np.flatnonzero(~side)
-        found = []
+        heads, found = Heads(t), []
         for at in range(0, len(left), 64):
             i = left[at : at + 64]
             same = [sig[i][:, None, k : k + SAMPLES] == sig[right][None, :, k : k + SAMPLES] for k in (0, SAMPLES)]
@@ -319,6 +402,11 @@ def _met(least: int):
             x, y = i[x], right[y]
             shared = ((sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(2) * (1 << np.arange(BANDS))).sum(1)
             mine = shared & open_[x] & (bits[x] - 1) == 0
+            x, y = x[mine], y[mine]
+            mine = np.zeros(len(x), bool)
+            for k in np.unique(x):
+                same = np.flatnonzero(x == k)
+                mine[same] = reaching(heads, int(k), y[same], threshold)
             found += [(min(node[p], node[q]), max(node[p], node[q])) for p, q in zip(x[mine], y[mine], strict=True)]
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
@@ -366,7 +454,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     firsts = keys.groupBy("key").agg(F.min(F.struct("mean", "node")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n", F.col("f.node").alias("first"))
     members = stored(keys.join(firsts, "key"), "buckets")
     wanted = members.select("node").distinct().join(reps.select("node", "doc_id"), "node")
-    texts = rows.withColumn("node", node).join(wanted.select("doc_id", "node"), ["doc_id", "node"]).groupBy("node").agg(F.first("_text").alias("text"))
+    # one row a node, by id and node, so that a text which many rows repeat is no hot key; without an id, by node
+    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    found = rows.withColumn("node", node).join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = found.groupBy("node").agg(F.first("_text").alias("text"))
     texts = stored(texts, "texts")
 
     # The first node of a bucket is the one of the least mean weight: a copy that was edited least has the fewest rare, heavy
@@ -389,7 +480,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     still = stored(still.join(sizes, "key").withColumn("stray", F.col("part") != F.col("main")), "open-buckets")
     bit = bit_of(F.col("band"))
     masks = still.groupBy("node", "part").agg(F.bit_or(bit).alias("open"))
-    masks = stored(masks.join(reps.select("node", "sig"), "node"), "open-nodes")
+    masks = text_map(masks.join(reps.select("node", "sig"), "node").join(texts, "node"), _heads(idf, threshold), HEAD, text="text")
+    masks = stored(masks, "open-nodes")
     one = still.select("key", "node", "n", "strays", "stray", bit.alias("bits")).join(masks, "node")
     rest = in_join(one.where(F.col("n") <= LARGE), threshold).union(in_blocks(one.where(F.col("n") > LARGE), threshold))
     rest = rest.join(tried, ["a", "b"], "left_anti")

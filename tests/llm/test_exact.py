@@ -498,3 +498,70 @@ def test_leaks_of_a_table_against_all_pairs(spark):
                     want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in decontaminate.query(spark, data).collect()}
     assert got == want and len(want) > 0
+
+
+def test_the_first_common_shingle_bounds_the_similarity(spark):
+    """No pair that is similar enough, plain or weighted, is ruled out; both forms of the bound say the same."""
+    r = random.Random(17)
+    words = [f"w{i}" for i in range(2000)]
+    base = r.sample(words, 150)
+    texts = []
+    for _ in range(150):
+        edited = list(base)
+        for _ in range(r.randint(0, 9)):
+            edited[r.randrange(len(edited))] = r.choice(words)
+        texts.append(" ".join(edited[: r.randint(110, 150)] * r.choice([1, 1, 1, 2])))
+    hashes, counts = near_dup.Hashes(), np.zeros(near_dup.BUCKETS, np.int64)
+    for t in texts:
+        counts[np.unique((near_dup.shingles(t, hashes)[0] >> np.uint64(64 - near_dup.BITS)).astype(np.int64))] += 1
+    idf = near_dup.log_idf(3000, counts)
+    import pyarrow as pa
+
+    made = near_dup._heads(idf, 0.8)()(texts)
+    table = pa.table({f.name: pa.array(list(c)) for f, c in zip(near_dup.HEAD, made, strict=True)})
+    heads, sets = near_dup.Heads(table), []
+    for t in texts:
+        s, n = near_dup.shingles(t, hashes)
+        sets.append((s, np.exp(near_dup.levels(s, n, idf) / near_dup.GRID), np.ones(len(s))))
+    ruled = similar = 0
+    can = np.array([near_dup.reaching(heads, i, np.arange(len(texts)), 0.8) for i in range(len(texts))])
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        linked = near_dup.jaccard(sets[i][:2], sets[j][:2]) >= 0.8 or near_dup.jaccard(sets[i][::2], sets[j][::2]) >= 0.8
+        assert can[i, j] or not linked
+        assert can[i, j] == can[j, i]
+        ruled, similar = ruled + (not can[i, j]), similar + linked
+    assert similar > 50 and ruled > 5000
+    rows = spark.createDataFrame([(k, [int(x) for x in h], [float(x) for x in w], int(n), float(f)) for k, (h, w, n, f) in enumerate(zip(*made, strict=True))], "k int, head array<bigint>, rest array<double>, size int, total double")
+    left, right = (rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns]) for x in "ab")
+    both = left.where("k_a < 20").crossJoin(right).select("k_a", "k_b", near_dup.can_reach(0.8).alias("can")).collect()
+    assert all(x["can"] == can[x.k_a, x.k_b] for x in both)
+
+
+@pytest.mark.parametrize("data", ["/root/testdata/sf0.01"])
+def test_recall_on_a_table(spark, data):
+    """Every pair of a table's texts, held against each other: nine tenths at least share a class, weighted or plain."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r.doc_id: r.class_id for r in near_dup.query(spark, data).collect()}
+    hashes, sets = near_dup.Hashes(), {}
+    counts = np.zeros(near_dup.BUCKETS, np.int64)
+    for t in docs.values():
+        s, _ = near_dup.shingles(t, hashes)
+        counts[np.unique((s >> np.uint64(64 - near_dup.BITS)).astype(np.int64))] += 1
+    idf = near_dup.log_idf(sum(bool(hashes(t).size) for t in docs.values()), counts)
+    for d, t in docs.items():
+        s, n = near_dup.shingles(t, hashes)
+        sets[d] = (s, np.exp(near_dup.levels(s, n, idf) / near_dup.GRID), np.ones(len(s)))
+    pairs = found = 0
+    for a, b in itertools.combinations(docs, 2):
+        x, y = sets[a], sets[b]
+        if len(x[0]) and len(y[0]) and np.isin(x[0][:400], y[0], assume_unique=True).any() and max(near_dup.jaccard(x[:2], y[:2]), near_dup.jaccard(x[::2], y[::2])) >= 0.8:
+            pairs, found = pairs + 1, found + (got[a] == got[b])
+    assert pairs > 50 and found >= 0.99 * pairs
+
+
+def test_rows_without_an_id_have_links(spark):
+    r = random.Random(3)
+    base = r.choices([f"w{i}" for i in range(500)], k=200)
+    near = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in (50, 100, 150)]
+    docs = spark.createDataFrame([(1, near[0]), (None, near[1]), (None, near[1]), (None, near[2]), (9, " ".join(base))], "doc_id long, text string")
+    assert {x.class_id for x in near_dup.classes(docs).collect()} == {1}
