@@ -9,8 +9,6 @@ from docloom.functions import text as tx
 from docloom.operators import lookup
 from docloom.plans import vocab
 
-NULL = F.lit
-
 
 def field(value: Column, status: Column | str, source: Column | str | None, confidence: Column | float | None, note: Column | str | None = None) -> Column:
     lit = lambda x, kind: x if isinstance(x, Column) else F.lit(x).cast(kind)
@@ -165,11 +163,6 @@ def geocoded(named: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return rows.join(g, ["_n", "_s"], "left").select(*named.columns, F.round("at.lat", 6).alias("lat"), F.round("at.lon", 6).alias("lon"))
 
 
-def people_scope(text: Column) -> Column:
-    """Comments and responses are in the document: commenters may be asked for."""
-    return text.rlike(r"(?i)comments?\s+and\s+responses?")
-
-
 def commenter_quotes(quotes: Column, squeezed: Column) -> Column:
     """Commenters (…, quote) with quote_verified; those with an empty quote go."""
     some = F.filter(quotes, lambda c: F.coalesce(tx.strip(c["quote"]), F.lit("")) != "")
@@ -183,12 +176,6 @@ def described_labels(labels: DataFrame, descriptions: DataFrame, degraded: DataF
     return rows.select(*labels.columns, F.coalesce("description", F.lit("")).alias("description"), F.when(ok, "ok").otherwise("needs_review").alias("status"))
 
 
-def two_pass_summary(short: Column, long: Column, degraded: Column) -> Column:
-    """struct(short, long, status, confidences): a context from keywords or first characters is needs_review."""
-    has = F.coalesce(short, F.lit("")) != ""
-    return F.struct(short.alias("short"), long.alias("long"), F.when(~has, "insufficient_information").when(degraded, "needs_review").otherwise("ok").alias("status"), F.when(degraded, 0.65).otherwise(0.85).alias("confidence"), F.when(degraded, 0.60).otherwise(0.80).alias("long_confidence"))
-
-
 def chosen_quote(candidates: DataFrame, picked: DataFrame | None = None) -> DataFrame:
     """(doc_id, block_id, span_id, method): the only candidate; else a model's pick, null if it names no candidate; else, without an answer, the first.
 

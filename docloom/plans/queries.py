@@ -763,3 +763,6 @@ def _(spark, sf_dir):
     second = row(fields.reduced_prompts(said.select("doc_id", "chunk", "response"), "Reduce {findings}", "reduce"), "reduce", '{"project_description": {"text": "a road", "source_pages": ["1-2"]}}')
     out = records.summary_lineage(docs, first.union(second), "Findings of {text}", "Reduce {findings}", size=2000, stride=1800)
     return out.select("doc_id", "n_chunks", "summary.project_description.text", F.size("summary.public_response.source_pages").alias("missing"))
+
+
+from docloom.plans import body_queries  # noqa: E402,F401  registers the body fields

@@ -88,3 +88,25 @@ def summary_lineage(docs: DataFrame, replay: str | DataFrame, map_template: str,
     found = model.answered(fields.chunk_prompts(chosen, map_template, "map"), replay, make)
     reduced = model.answered(fields.reduced_prompts(found.select("doc_id", "chunk", "response"), reduce_template, "reduce"), replay, make)
     return reduced.select("doc_id", "n_chunks", fields.summary_fields(F.col("parsed"), True).alias("summary"))
+
+
+def batch(docs: DataFrame, cost: Callable[[str], float], selection: DataFrame | None = None, only: list | None = None, limit: int | None = None) -> DataFrame:
+    """(doc_id, cost_usd, error): each document processed by itself; one that fails is a row with its error.
+
+    selection: (doc_id) as stored by an earlier run; only: these documents alone; limit: the first so many by id.
+    """
+    from docloom.sources.sinks import tried
+
+    rows = docs.select("doc_id", "text")
+    if selection is not None:
+        rows = rows.join(selection.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "doc_id", "left_semi")
+    if only is not None:
+        rows = rows.where(F.col("doc_id").isin(only))
+    if limit is not None:
+        rows = rows.orderBy("doc_id").limit(limit)
+    return tried(rows, "text", cost, "double").select("doc_id", F.col("value").alias("cost_usd"), "error")
+
+
+def batch_total(rows: DataFrame) -> DataFrame:
+    """One row of a batch: (documents, failed, cost_usd)."""
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.count("error").alias("failed"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
