@@ -6,14 +6,14 @@ fitted to them by gradient ascent on the exact likelihood. Scoring runs forward-
 marginals give toxic spans and, summed up, a document score by a logistic calibration on the same sample.
 
 Inputs of a score are the words alone. Defined results: a null or empty text gets the calibrated score of no evidence
-and no span; documents without a label only get scored; several labels of one document count as their maximum;
+and no span; documents without a label only get scored; several labels of one document count as their maximum,
+of several texts under one id the first in order is learned from;
 without labels of both kinds all scores are the share of toxic labels (0 without any).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -110,44 +110,56 @@ def evidence(tokens: list[list[str]], model: Model, emissions: dict) -> np.ndarr
     return np.column_stack([np.ones(len(tokens)), np.log1p(total), np.log1p(100 * total / np.maximum(n, 1)), most, np.log1p(n) / 5])
 
 
-def marked_traits(tokens: list[list[str]], toxic: np.ndarray, least: int = 5) -> set[str]:
-    """Traits far more frequent in toxic documents."""
-    seen = (Counter(), Counter())
-    for ws, y in zip(tokens, toxic, strict=True):
-        seen[int(y)].update({t for w in set(ws) for t in traits(w)})
+class Words:
+    """The words of some texts as numbers, text by text, with the traits of each word."""
+
+    def __init__(self, tokens: list[list[str]]):
+        number: dict[str, int] = {}
+        self.ids = np.fromiter((number.setdefault(w, len(number)) for ws in tokens for w in ws), np.int64)
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.names: dict[str, int] = {}
+        each = [[self.names.setdefault(t, len(self.names)) for t in traits(w)] for w in number]
+        self.start = np.append(0, np.cumsum(np.fromiter(map(len, each), np.int64, len(each))))
+        self.which = np.fromiter((t for ts in each for t in ts), np.int64, int(self.start[-1]))
+
+    def traits_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in words, trait) of every trait of some words."""
+        n = self.start[words + 1] - self.start[words]
+        at = np.repeat(np.arange(len(words)), n)
+        return at, self.which[np.repeat(self.start[words] - (np.cumsum(n) - n), n) + np.arange(len(at))]
+
+
+def marked_traits(words: Words, toxic: np.ndarray, least: int = 5) -> np.ndarray:
+    """Whether each trait is far more frequent in toxic documents."""
+    v, m = len(words.start) - 1, len(words.names)
+    own = np.unique(np.repeat(np.arange(len(toxic)), words.lengths) * v + words.ids)
+    at, which = words.traits_of(own % v)
+    pairs = np.unique(own[at] // v * m + which)
+    k, c = (np.bincount(pairs[toxic[pairs // m] == y] % m, minlength=m) for y in (True, False))
     nt, nc = toxic.sum(), (~toxic).sum()
-    out = set()
-    for t, k in seen[1].items():
-        c = seen[0][t]
-        expected = (k + c) * nt / (nt + nc)
-        if k >= least and np.log((k + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1)) >= 1.5 and (k - expected) / np.sqrt(expected) >= 4:
-            out.add(t)
-    return out
-
-
-def fit_field(tokens: list[list[str]], marks: list[list[bool]], steps: int = 60, rate: float = 0.3, l2: float = 1.0) -> Model:
-    """Maximum likelihood of the marks by exact gradients (Adam)."""
-    seen = (Counter(), Counter())
-    for ws, ms in zip(tokens, marks, strict=True):
-        for w, m in zip(ws, ms, strict=True):
-            if m:
-                seen[1].update(traits(w))
-    for ws in tokens:
-        seen[0].update(t for w in ws for t in traits(w) if t in seen[1])
-    names = sorted(t for t, k in seen[1].items() if k >= 3)
-    number = {t: i for i, t in enumerate(names)}
-    r = Ragged(np.fromiter(map(len, tokens), np.int64, len(tokens)))
-    own: dict[str, list[int]] = {}
-    at, which = [], []
-    for i, w in enumerate(w for ws in tokens for w in ws):
-        ids = own.get(w)
-        if ids is None:
-            ids = own[w] = [number[t] for t in traits(w) if t in number]
-        for k in ids:
-            at.append(i)
-            which.append(k)
-    at, which = np.array(at, np.int64), np.array(which, np.int64)
-    y = np.fromiter((m for ms in marks for m in ms), float, len(r.doc))
+    expected = (k + c) * nt / (nt + nc)
+    often = np.log((k + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1)) >= 1.5
+    return (k >= least) & often & ((k - expected) / np.sqrt(np.maximum(expected, 1e-9)) >= 4)
+
+
+def fit_field(words: Words, marks: np.ndarray, texts: np.ndarray, steps: int = 60, rate: float = 0.3, l2: float = 1.0, longest: int = 512) -> Model:
+    """Maximum likelihood of the marks (of each word) in some texts by exact gradients (Adam). Texts are learned in stretches of `longest` words."""
+    begin = np.append(0, np.cumsum(words.lengths))
+    some = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in texts])
+    ids, y = words.ids[some], marks[some].astype(float)
+    lengths = words.lengths[texts]
+    whole, rest = lengths // longest, lengths % longest
+    stretches = np.concatenate([[longest] * int(a) + ([int(b)] if b else []) for a, b in zip(whole, rest, strict=True)]).astype(np.int64)
+    r = Ragged(stretches)
+    _, which = words.traits_of(ids[y > 0])
+    known = np.flatnonzero(np.bincount(which, minlength=len(words.names)) >= 3)
+    place = np.full(len(words.names), -1, np.int64)
+    place[known] = np.arange(len(known))
+    at, which = words.traits_of(ids)
+    which = place[which]
+    at, which = at[which >= 0], which[which >= 0]
+    spelled = list(words.names)
+    names = [spelled[i] for i in known]
     y_place = np.empty(len(y))
     y_place[r.place] = y
     follow = [(r.start[t], r.start[t + 1], r.n[t + 1]) for t in range(r.steps - 1)]
@@ -195,24 +207,23 @@ def train(texts: list[str], toxic: list[bool], field_words: int = 1_000_000) ->
     if not len(y) or y.all() or not y.any():
         return Model(constant=float(y.mean()) if len(y) else 0.0)
     tokens = [WORD.findall(t.lower()) for t in texts]
-    marked = marked_traits(tokens, y)
-    if not marked:
+    words = Words(tokens)
+    marked = marked_traits(words, y) if len(words.ids) else np.zeros(0, bool)
+    if not marked.any():
         return Model(constant=float(y.mean()))
-    known: dict[str, bool] = {}
-
-    def mark(w: str) -> bool:
-        if w not in known:
-            known[w] = any(t in marked for t in traits(w))
-        return known[w]
-
-    words, some = 0, []
+    bad = np.zeros(len(words.start) - 1, bool)
+    bad[np.repeat(np.arange(len(bad)), np.diff(words.start))[marked[words.which]]] = True
+    marks = bad[words.ids] & np.repeat(y, words.lengths)
+    total, some = 0, []
     turns = [np.flatnonzero(y), np.flatnonzero(~y)]
     for k in range(max(map(len, turns))):  # toxic and clean texts by turns, while words are left
         for t in turns:
-            if k < len(t) and words + len(tokens[t[k]]) <= field_words:
+            if k < len(t) and total + len(tokens[t[k]]) <= field_words:
                 some.append(t[k])
-                words += len(tokens[t[k]])
-    model = fit_field([tokens[i] for i in some], [[bool(y[i]) and mark(w) for w in tokens[i]] for i in some])
+                total += len(tokens[t[k]])
+    if not total:
+        return Model(constant=float(y.mean()))
+    model = fit_field(words, marks, np.array(some))
     seen = Emissions(model)
     x = np.vstack([evidence(tokens[i : i + 1024], model, seen) for i in range(0, len(tokens), 1024)])
     model.calibration = tuple(map(float, logistic(x, y.astype(float))))
@@ -260,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """The model of at most `sample` labelled documents, a third of them toxic at most, chosen by hash."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     some = bounded_sample(marked.where("_toxic > 0"), "doc_id", sample // 3).unionByName(bounded_sample(marked.where("_toxic <= 0"), "doc_id", sample - sample // 3))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "_toxic").agg(F.first("_text").alias("_text")).limit(sample).collect()
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("_text").alias("_text")).limit(sample).collect()
     rows.sort(key=lambda r: r.doc_id)
     return train([r._text for r in rows], [r._toxic > 0 for r in rows])
 
