@@ -196,23 +196,17 @@ class Index:
         return [found[k] for k in sorted(found)]
 
 
-class Buckets(dict):
-    """The hash bucket of a word; kept for words seen, emptied when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-        return out
+def bucket_of(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def buckets_of(items: DataFrame) -> np.ndarray:
     """The buckets of the items' words, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, seen = Buckets(), set()
+        seen: set[int] = set()
         for b in batches:
-            seen.update(bucket[w] for t in b.column("t").to_pylist() for w in set(words_of(t)))
+            seen.update(bucket_of(w) for t in b.column("t").to_pylist() for w in set(words_of(t)))
         yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], names=["bucket"])
 
     return np.sort(items.select("t").mapInArrow(run, "bucket long").distinct().toPandas()["bucket"].to_numpy(np.int64))  # BUCKETS at most
@@ -222,19 +216,20 @@ def document_frequencies(rows: DataFrame, wanted: np.ndarray) -> tuple[int, np.n
     """(documents, documents with a word in each of BUCKETS buckets, 0 for those not wanted) over all rows of _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(BUCKETS, -1, np.int64)
-        place[wanted] = np.arange(len(wanted))
-        counts, n, bucket, seen = np.zeros(len(wanted), np.int64), 0, Buckets(), set()
+        place = dict(zip(wanted.tolist(), range(len(wanted)), strict=True))
+        counts, n, seen = np.zeros(len(wanted), np.int64), 0, set()
         places: dict[str, int] = {}  # of the words seen that fall into a wanted bucket
         for b in batches:
             for t in b.column("_text").to_pylist():
                 own = set(words_of(t))
-                for w in own - seen:
-                    if (k := int(place[bucket[w]])) >= 0:
+                new = own - seen
+                for w in new:
+                    if (k := place.get(bucket_of(w))) is not None:
                         places[w] = k
-                seen |= own
-                counts[list({places[w] for w in places.keys() & own})] += 1
-            if len(seen) > 500_000:
+                seen |= new
+                if found := own & places.keys():
+                    counts[list({places[w] for w in found})] += 1
+            if len(seen) > 2_000_000:
                 seen.clear()
                 places.clear()
             n += b.num_rows
@@ -257,10 +252,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     shards = max(1, math.ceil(size.n / SHARD), math.ceil(size.chars / SHARD_CHARS))
     kind = T.ArrayType(HIT)
     n, counts = document_frequencies(rows.select("_text"), buckets_of(items)) if size.n else (0, None)
-    bucket = Buckets()
     for k in range(shards):
         some = [(r.id, r.t) for r in items.where(F.pmod(F.xxhash64("id", "t"), F.lit(shards)) == k).collect()]  # about SHARD items
-        index = spark.sparkContext.broadcast(Index(some, n, lambda w: int(counts[bucket[w]])) if any(words_of(t) for _, t in some) else None)
+        index = spark.sparkContext.broadcast(Index(some, n, lambda w: int(counts[bucket_of(w)])) if any(words_of(t) for _, t in some) else None)
         columns = [c for c in rows.columns if c != "hits"]
         schema = T.StructType([rows.schema[c] for c in columns] + [T.StructField("hits", kind)])
 
