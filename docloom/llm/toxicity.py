@@ -115,12 +115,11 @@ class Words:
 
     def __init__(self, tokens: list[list[str]]):
         number: dict[str, int] = {}
-        self.ids = np.fromiter((number.setdefault(w, len(number)) for ws in tokens for w in ws), np.int64)
+        self.ids = np.fromiter((number.setdefault(w, len(number)) for ws in tokens for w in ws), np.int32)
         self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.names: dict[str, int] = {}
-        each = [[self.names.setdefault(t, len(self.names)) for t in traits(w)] for w in number]
-        self.start = np.append(0, np.cumsum(np.fromiter(map(len, each), np.int64, len(each))))
-        self.which = np.fromiter((t for ts in each for t in ts), np.int64, int(self.start[-1]))
+        self.start = np.append(0, np.cumsum(np.fromiter((1 + sum(len(w) >= k for k in STEMS) for w in number), np.int64, len(number))))
+        self.which = np.fromiter((self.names.setdefault(t, len(self.names)) for w in number for t in traits(w)), np.int32, int(self.start[-1]))
 
     def traits_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in words, trait) of every trait of some words."""
@@ -132,10 +131,16 @@ class Words:
 def marked_traits(words: Words, toxic: np.ndarray, least: int = 5) -> np.ndarray:
     """Whether each trait is far more frequent in toxic documents."""
     v, m = len(words.start) - 1, len(words.names)
-    own = np.unique(np.repeat(np.arange(len(toxic)), words.lengths) * v + words.ids)
-    at, which = words.traits_of(own % v)
-    pairs = np.unique(own[at] // v * m + which)
-    k, c = (np.bincount(pairs[toxic[pairs // m] == y] % m, minlength=m) for y in (True, False))
+    k, c = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    begin = np.append(0, np.cumsum(words.lengths))
+    for first in range(0, len(toxic), 256):  # some documents at a time, each trait of a document once
+        last = min(first + 256, len(toxic))
+        own = np.unique(np.repeat(np.arange(first, last), words.lengths[first:last]) * v + words.ids[begin[first] : begin[last]])
+        at, which = words.traits_of(own % v)
+        pairs = np.unique(own[at] // v * m + which)
+        bad = toxic[pairs // m]
+        k += np.bincount(pairs[bad] % m, minlength=m)
+        c += np.bincount(pairs[~bad] % m, minlength=m)
     nt, nc = toxic.sum(), (~toxic).sum()
     expected = (k + c) * nt / (nt + nc)
     often = np.log((k + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1)) >= 1.5
@@ -155,16 +160,19 @@ def fit_field(words: Words, marks: np.ndarray, texts: np.ndarray, steps: int = 6
     known = np.flatnonzero(np.bincount(which, minlength=len(words.names)) >= 3)
     place = np.full(len(words.names), -1, np.int64)
     place[known] = np.arange(len(known))
-    at, which = words.traits_of(ids)
-    which = place[which]
-    at, which = at[which >= 0], which[which >= 0]
+    parts = []
+    for first in range(0, len(ids), 50_000):
+        at, which = words.traits_of(ids[first : first + 50_000])
+        which = place[which]
+        parts.append(((at[which >= 0] + first).astype(np.int32), which[which >= 0].astype(np.int32)))
+    at, which = (np.concatenate([x[j] for x in parts]) for j in (0, 1))
     spelled = list(words.names)
     names = [spelled[i] for i in known]
     y_place = np.empty(len(y))
     y_place[r.place] = y
     follow = [(r.start[t], r.start[t + 1], r.n[t + 1]) for t in range(r.steps - 1)]
-    left = np.concatenate([np.arange(s, s + n) for s, _, n in follow]) if follow else np.empty(0, np.int64)
-    right = np.concatenate([np.arange(s, s + n) for _, s, n in follow]) if follow else np.empty(0, np.int64)
+    left = np.concatenate([np.arange(s, s + n, dtype=np.int32) for s, _, n in follow]) if follow else np.empty(0, np.int32)
+    right = np.concatenate([np.arange(s, s + n, dtype=np.int32) for _, s, n in follow]) if follow else np.empty(0, np.int32)
     pair = np.bincount((2 * y_place[left] + y_place[right]).astype(int), minlength=4)
     x = np.zeros(len(names) + 5)
     x[len(names)] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
@@ -184,9 +192,10 @@ def fit_field(words: Words, marks: np.ndarray, texts: np.ndarray, steps: int = 6
         if len(at):
             grad[:k] = np.bincount(which, (y - p)[at], k) - l2 * x[:k]
         grad[k] = (y - p).sum()
-        q = e[right] * b[right]
-        xi = np.column_stack([np.full(len(left), moves[0]), moves[1] * q, moves[2] * f[left], moves[3] * f[left] * q])
-        grad[k + 1 :] = pair - (xi / xi.sum(1, keepdims=True)).sum(0) - l2 * x[k + 1 :]
+        q, fl = (e * b)[right], f[left]
+        share = 1 / (moves[0] + moves[1] * q + fl * (moves[2] + moves[3] * q))
+        expected = np.array([moves[0] * share.sum(), moves[1] * (q @ share), moves[2] * (fl @ share), moves[3] * ((fl * q) @ share)])
+        grad[k + 1 :] = pair - expected - l2 * x[k + 1 :]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         x += rate / np.sqrt(step) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return Model({t: float(w) for t, w in zip(names, x[:k], strict=True) if abs(w) > 1e-6}, float(x[k]), tuple(float(np.exp(w)) for w in x[k + 1 :]))
