@@ -218,14 +218,13 @@ def document_frequencies(rows: DataFrame, wanted: np.ndarray) -> tuple[int, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = dict(zip(wanted.tolist(), range(len(wanted)), strict=True))
         counts, n, seen = np.zeros(len(wanted), np.int64), 0, set()
+        get, crc = place.get, zlib.crc32  # as bucket_of
         places: dict[str, int] = {}  # of the words seen that fall into a wanted bucket
         for b in batches:
             for t in b.column("_text").to_pylist():
                 own = set(words_of(t))
                 new = own - seen
-                for w in new:
-                    if (k := place.get(bucket_of(w))) is not None:
-                        places[w] = k
+                places.update([(w, k) for w in new if (k := get(crc(w.encode("utf-8", "surrogatepass")) % BUCKETS)) is not None])
                 seen |= new
                 if found := own & places.keys():
                     counts[list({places[w] for w in found})] += 1
