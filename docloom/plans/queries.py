@@ -265,7 +265,7 @@ def _(spark, sf_dir):
     return retrieval.labels(docs, got.select("doc_id", "n", "start", "end")).select("doc_id", "label", "rank", "start")
 
 
-@query("described_labels")
+@query("described_labels", f"""{_SECTIONS} SELECT doc_id, label, CAST(position(raw IN text) - 1 AS INT) AS start, CAST(position(raw IN text) - 1 + length(raw) AS INT) AS "end", rank, CASE WHEN rank <> 2 THEN 'About ' || label ELSE '' END AS description, CASE WHEN rank <> 2 AND doc_id IN (SELECT doc_id FROM x WHERE section = 'alternatives' AND start IS NOT NULL) THEN 'ok' ELSE 'needs_review' END AS status FROM e CROSS JOIN (VALUES ('Alternative A', 'Alternative A', 1), ('Alternative B-1', 'Alternative B-1', 2), ('No Action', 'No  Action', 3), ('Preferred Alternative', 'Preferred Alternative', 4)) AS v(label, raw, rank)""")
 def _(spark, sf_dir):
     """Statuses of labels by a model's descriptions and the source of the text."""
     docs = eis(spark, sf_dir)
