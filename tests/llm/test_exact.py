@@ -123,6 +123,21 @@ def test_cache_encodes_each_text_once(spark, tmp_path):
     assert token_counts.count_tokens(docs.limit(0), path, cache).count() == 0
 
 
+def test_token_counts_of_odd_rows(spark, tmp_path):
+    """Null, empty, repeated, clashing and very long rows: one row each, counted as the library counts the whole text."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    long_text = "Long words, again and again. " * 40_000 + "é\n\t" * 50
+    rows = [(1, None, "a", 7, "x"), (1, "", "b", 7, "x"), (2, "same text", "c", 8, None), (2, "same text", "c", 8, None), (None, "no id", None, None, "y"), (3, long_text, "d", 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, content string, n_tokens int, tokenizer string")
+    out = token_counts.count_tokens(docs, path, f"file://{tmp_path}/cache")
+    got = sorted((str(r._row.doc_id), r._row.content or "", r.n_bytes, r.n_tokens) for r in out.collect())
+    want = sorted((str(i), c or "", len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, c, _, _ in rows)
+    assert got == want
+
+
 # archives
 
 
