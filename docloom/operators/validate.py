@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+import tempfile
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import text as tx
 from docloom.plans import vocab
@@ -148,27 +155,103 @@ def claim_downgrades(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("doc_id").agg(F.coalesce(F.bool_or(no & (F.col("field_path") == "summary.text")), F.lit(False)).alias("summary_failed"), F.coalesce(F.bool_or(no & F.startswith("field_path", F.lit("historical_context_internal.claims"))), F.lit(False)).alias("history_failed"))
 
 
-def dispatched(claims: DataFrame, cap: float, retries: int = 3) -> DataFrame:
+class _Held:
+    """Batches put aside in order, beyond `most` bytes in a temporary file."""
+
+    def __init__(self, most: int):
+        self.most, self.file, self.writer = most, None, None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if self.file is None:
+            self.file = tempfile.SpooledTemporaryFile(self.most)
+            self.writer = pa.ipc.new_stream(self.file, batch.schema)
+        self.writer.write_batch(batch)
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        if self.file is not None:
+            self.writer.close()
+            self.file.seek(0)
+            yield from pa.ipc.open_stream(self.file)
+            self.file.close()
+            self.file = self.writer = None
+
+
+def _all(*parts: bool | None) -> bool | None:
+    """AND as SQL has it."""
+    return False if False in parts else None if None in parts else True
+
+
+def _dispatch(cap: float, retries: int, hold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folds claims that come document by document and in order; ord is the place in the document.
+
+    What a document has spent in the end stands in each of its rows, so rows wait until it is known: until no tier is
+    open any more, after which nothing is spent, or until the document ends.
+    """
+    shares = {"haiku": cap * 1.0, "sonnet": cap * 0.75}
+    opus = cap * 0.5
+    top = max(opus, *shares.values())
+    less = lambda a, b: None if a is None else a < b
+    same = lambda a, b: None if a is None else a == b
+    plus = lambda a, b: None if a is None or b is None else a + b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(hold)
+        spent, retried = 0.0, 0
+
+        def done(b: pa.RecordBatch, spents: list[float | None], counts: list[int | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(spents, pa.float64()), pa.array(counts, pa.int32())], names=[*b.schema.names, "spent", "retried"])
+
+        def released() -> Iterator[pa.RecordBatch]:
+            for b in held.taken():
+                yield done(b, [spent] * b.num_rows, [retried] * b.num_rows)
+
+        for b in batches:
+            n = b.num_rows
+            starts = set(np.flatnonzero(b.column("ord").to_numpy() == 0).tolist())
+            tiers, verdicts, spents, counts = ["skipped_budget_cap"] * n, ["skipped"] * n, [], []
+            for a, z in itertools.pairwise(sorted({0, *starts, n})):
+                if a in starts:
+                    yield from released()
+                    spent, retried = 0.0, 0
+                if spent is None or spent < top:
+                    part = b.slice(a, z - a)
+                    for i, (tier, verdict, cost, again_verdict, again_cost) in enumerate(zip(*(part.column(c).to_pylist() for c in ("tier", "verdict", "cost", "retry_verdict", "retry_cost")), strict=True), a):
+                        runs = less(spent, shares.get(tier, opus))
+                        if runs is False:
+                            continue
+                        if runs:
+                            spent = plus(spent, cost)
+                        again = _all(runs, same(tier, "sonnet"), same(verdict, "no"), less(retried, retries), less(spent, opus), again_verdict is not None)
+                        tiers[i], verdicts[i] = ("opus", again_verdict) if again else (tier, verdict)
+                        if again:
+                            spent = plus(spent, again_cost)
+                        retried = plus(retried, again)
+                if z < n or not (spent is None or spent < top):
+                    yield from released()
+                    spents += [spent] * (z - a)
+                    counts += [retried] * (z - a)
+            rows = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ord"), b.column("field_path"), pa.array(tiers, pa.string()), pa.array(verdicts, pa.string())], names=["doc_id", "ord", "field_path", "tier", "verdict"])
+            k = len(spents)
+            yield done(rows.slice(0, k), spents, counts)
+            if k < n:
+                held.add(rows.slice(k))
+        yield from released()
+
+    return run
+
+
+def dispatched(claims: DataFrame, cap: float, retries: int = 3, hold: int = 64 << 20) -> DataFrame:
     """Verdicts after tiers and budget: claims (doc_id, ord, field_path, tier, verdict, cost, retry_verdict, retry_cost).
 
     In order, a claim is skipped once what the document has spent closes its tier; a `no` of the middle tier is asked
     again in the highest, at most `retries` times a document. Whether a call is made depends on the calls before it, so
-    the claims of a document (a few dozen) are folded in order.
+    the claims of a document are folded in order, in one pass over sorted rows: the time grows with the claims, and of
+    those that wait for a document's sums `hold` bytes a task are in memory, the others in a temporary file.
     """
-    item = F.struct("ord", "field_path", "tier", "verdict", "cost", "retry_verdict", "retry_cost")
-    each = claims.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("cs"))
-    start = F.struct(F.lit(0.0).alias("spent"), F.lit(0).alias("retried"), F.array().cast("array<struct<field_path:string,tier:string,verdict:string>>").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        share = F.when(c["tier"] == "haiku", 1.0).when(c["tier"] == "sonnet", 0.75).otherwise(0.5)
-        runs = s["spent"] < cap * share
-        spent = F.when(runs, s["spent"] + c["cost"]).otherwise(s["spent"])
-        again = runs & (c["tier"] == "sonnet") & (c["verdict"] == "no") & (s["retried"] < retries) & (spent < cap * 0.5) & c["retry_verdict"].isNotNull()
-        said = F.struct(c["field_path"].alias("field_path"), F.when(~runs, "skipped_budget_cap").when(again, "opus").otherwise(c["tier"]).alias("tier"), F.when(~runs, "skipped").when(again, c["retry_verdict"]).otherwise(c["verdict"]).alias("verdict"))
-        return F.struct(F.when(again, spent + c["retry_cost"]).otherwise(spent).alias("spent"), (s["retried"] + again.cast("int")).alias("retried"), F.array_append(s["out"], said).alias("out"))
-
-    done = each.select("doc_id", F.aggregate("cs", start, step).alias("s"))
-    return done.select("doc_id", F.col("s.spent").alias("spent"), F.col("s.retried").alias("retried"), F.posexplode("s.out").alias("ord", "v")).select("doc_id", "ord", "v.field_path", "v.tier", "v.verdict", "spent", "retried")
+    place = Window.partitionBy("doc_id").orderBy("ord", "field_path", "tier", "verdict", "cost", "retry_verdict", "retry_cost")
+    rows = claims.select("doc_id", (F.row_number().over(place) - 1).alias("ord"), "field_path", "tier", "verdict", F.col("cost").cast("double"), "retry_verdict", F.col("retry_cost").cast("double"))
+    schema = T.StructType([*rows.schema[:5], T.StructField("spent", T.DoubleType()), T.StructField("retried", T.IntegerType())])
+    return rows.mapInArrow(_dispatch(cap, retries, hold), schema)
 
 
 def claim_payloads(records: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +122,65 @@ def test_dispatch_sheds_and_retries(spark):
     assert got[0].retried == 2
 
 
+CLAIMS = "doc_id int, ord int, field_path string, tier string, verdict string, cost double, retry_verdict string, retry_cost double"
+
+
+def folded_in_arrays(claims, cap, retries):
+    """The dispatch as one expression over the array of a document's claims: time grows with their square. The sums may become null."""
+    start = F.struct(F.nullif(F.lit(0.0), F.lit(-1.0)).alias("spent"), F.nullif(F.lit(0), F.lit(-1)).alias("retried"), F.array().cast("array<struct<field_path:string,tier:string,verdict:string>>").alias("out"))
+
+    def step(s, c):
+        runs = s["spent"] < cap * F.when(c["tier"] == "haiku", 1.0).when(c["tier"] == "sonnet", 0.75).otherwise(0.5)
+        spent = F.when(runs, s["spent"] + c["cost"]).otherwise(s["spent"])
+        again = runs & (c["tier"] == "sonnet") & (c["verdict"] == "no") & (s["retried"] < retries) & (spent < cap * 0.5) & c["retry_verdict"].isNotNull()
+        said = F.struct(c["field_path"].alias("field_path"), F.when(~runs, "skipped_budget_cap").when(again, "opus").otherwise(c["tier"]).alias("tier"), F.when(~runs, "skipped").when(again, c["retry_verdict"]).otherwise(c["verdict"]).alias("verdict"))
+        return F.struct(F.when(again, spent + c["retry_cost"]).otherwise(spent).alias("spent"), (s["retried"] + again.cast("int")).alias("retried"), F.array_append(s["out"], said).alias("out"))
+
+    each = claims.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*claims.columns[1:]))).alias("cs"))
+    done = each.select("doc_id", F.aggregate("cs", start, step).alias("s"))
+    return done.select("doc_id", F.posexplode("s.out").alias("ord", "v"), "s.spent", "s.retried").select("doc_id", "ord", "v.field_path", "v.tier", "v.verdict", "spent", "retried")
+
+
+@pytest.mark.parametrize(("batch", "hold"), [(7, 1), (10_000, 64 << 20)])
+def test_dispatch_of_odd_claims_is_the_fold_in_arrays(spark, batch, hold):
+    """Null, zero, negative and NaN costs, null and unknown tiers, null verdicts, repeated places, a null document, documents across batches and in a file."""
+    draw = random.Random(5)
+    odd = lambda xs, k: draw.choice(xs) if draw.random() < k else xs[0]
+    rows = []
+    for doc in [None, *range(60)]:
+        k = 0 if doc is None or doc < 30 else 0.05  # half of the documents hold odd rows
+        for i in range(draw.choice([1, 3, 20, 90])):
+            tier = odd([draw.choice(["haiku", "sonnet", "opus"]), "other", None], k)
+            verdict = odd([draw.choice(["no", "pass"]), None], k)
+            cost = odd([draw.choice([0.0, 0.01, 0.07]) if doc is None or doc % 3 else 0.0, -0.02, None, float("nan")], k)
+            rows.append((doc, odd([i, i // 2, None], k), f"p{i}", tier, verdict, cost, draw.choice(["pass", "no", None]), odd([0.05, None, 0.0], k)))
+    draw.shuffle(rows)
+    claims = spark.createDataFrame(rows, CLAIMS).repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = validate.dispatched(claims, 0.4, 2, hold)
+        assert got.columns == (want := folded_in_arrays(claims, 0.4, 2)).columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert validate.dispatched(claims.limit(0), 0.4).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("free", [False, True])
+def test_dispatch_of_a_document_with_many_claims(spark, free):
+    """A document of 300,000 claims in a few seconds: spent after 100 of them, or never."""
+    n = 300_000
+    claims = spark.range(n).select(F.lit(1).alias("doc_id"), (n - F.col("id")).alias("ord"), F.concat(F.lit("p"), F.col("id")).alias("field_path"), F.lit("haiku").alias("tier"), F.lit("no").alias("verdict"), F.lit(0.0 if free else 1.0).alias("cost"), F.lit("pass").alias("retry_verdict"), F.lit(1.0).alias("retry_cost"))
+    began = time.monotonic()
+    got = {(r.tier, r.verdict): r for r in validate.dispatched(claims, 100.0, hold=1 << 20).groupBy("tier", "verdict").agg(F.count("ord").alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"), F.max_by("field_path", "ord").alias("path"), F.min("spent").alias("least"), F.max("spent").alias("most"), F.max("retried").alias("retried")).collect()}
+    assert time.monotonic() - began < 30
+    if free:
+        assert {k: tuple(r)[2:] for k, r in got.items()} == {("haiku", "no"): (n, 0, n - 1, "p0", 0.0, 0.0, 0)}
+    else:
+        assert {k: tuple(r)[2:] for k, r in got.items()} == {("haiku", "no"): (100, 0, 99, f"p{n - 100}", 100.0, 100.0, 0), ("skipped_budget_cap", "skipped"): (n - 100, 100, n - 1, "p0", 100.0, 100.0, 0)}
+
+
 def test_violations_cover_every_rule(spark):
     t = lambda rows, schema: spark.createDataFrame(rows, schema)
     parts = {
